@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,21 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(token_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_binary, op9_minhash_near_dedup)}
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqengine.llm.media import media_features, media_table
+
+    return media_features(media_table(_table(spark, sf_dir, "documents")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqengine.llm.language_id import fit, predict
+
+    documents = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return predict(documents, fit(documents)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_binary, op5_media_columns, op7_language_id, op9_minhash_near_dedup)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
