@@ -26,6 +26,15 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(token_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from seqengine.llm.sentencepiece_codec import decode_digests, encode_column
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return decode_digests(encode_column(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqengine.llm.media import media_features, media_table
 
@@ -40,7 +49,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(documents, fit(documents)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_binary, op5_media_columns, op7_language_id, op9_minhash_near_dedup)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqengine.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sentencepiece, op4_token_binary, op5_media_columns, op7_language_id, op9_minhash_near_dedup, op10_benchmark_decontamination)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
