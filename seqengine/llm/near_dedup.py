@@ -207,4 +207,4 @@ def _links(documents: DataFrame, coarse: DataFrame, size: int, percent: int) ->
     member = member.select(F.col("id").alias("rep"), "component", "block", pair.alias("other")).select(
         "rep", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
-    return documents.select(F.col("doc_id").alias("rep"), "text").join(member, "rep").groupBy("component", "x", "y").applyInArrow(_verify(size, percent), "a long, b long")
+    return documents.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(member, "rep").groupBy("component", "x", "y").applyInArrow(_verify(size, percent), "a long, b long")
