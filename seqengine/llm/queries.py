@@ -41,6 +41,12 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media_table(_table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqengine.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqengine.llm.language_id import fit, predict
 
@@ -55,11 +61,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sentencepiece, op4_token_binary, op5_media_columns, op7_language_id, op9_minhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sentencepiece, op4_token_binary, op5_media_columns, op6_line_dedup, op7_language_id, op9_minhash_near_dedup, op10_benchmark_decontamination)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS content FROM d),
+s AS (SELECT doc_id, line, content, list_sort(list_distinct(list_filter(string_split(content, ' '), lambda w: w <> ''))) AS t FROM l),
+c AS (SELECT t, len(t) AS n, min((doc_id, line)) AS f FROM s WHERE len(t) > 0 GROUP BY t),
+i AS (SELECT row_number() OVER (ORDER BY f) AS id, * FROM c),
+w AS (SELECT id, n, unnest(t) AS w FROM i),
+df AS (SELECT w, count(*) AS df FROM w GROUP BY w),
+o AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY df, w) AS p FROM w JOIN df USING (w)),
+x AS (SELECT id, n, w FROM o WHERE p <= n - (4 * n + 4) // 5 + 1),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.w = b.w AND b.id < a.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+g AS (SELECT DISTINCT p.a AS id FROM p JOIN i a ON a.id = p.a JOIN i b ON b.id = p.b
+  WHERE 5 * len(list_intersect(a.t, b.t)) >= 4 * (a.n + b.n - len(list_intersect(a.t, b.t)))),
+k AS (SELECT s.doc_id, s.line, s.content, len(s.t) AS n, len(s.t) > 0 AND (i.f <> (s.doc_id, s.line) OR g.id IS NOT NULL) AS gone
+  FROM s LEFT JOIN i ON i.t = s.t LEFT JOIN g ON g.id = i.id)
+SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  md5(coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS text_md5
+FROM k GROUP BY doc_id""",
     "op9_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))

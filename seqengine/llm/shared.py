@@ -25,10 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again.
 
-    This cuts the lineage: what was written survives the loss of any executor.
+    This cuts the lineage: what was written survives the loss of any executor,
+    and the shuffle files behind it are freed at once.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    conf, free = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(free, "false")
+    conf.set(free, "true")
+    try:
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    finally:
+        conf.set(free, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
