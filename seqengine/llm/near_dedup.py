@@ -4,23 +4,24 @@
    signature of `COORDINATES` minima.  Texts with equal sets are one class.
 2. Each class is posted under every (coordinate, value) pair.  Postings travel
    as packed arrays, one row a bucket and task, and are counted per pair value.
-3. Prefix and skip merging: a class with fewer than `MATCHES` values that any
+3. Prefix and skip merging: a class with fewer than `matches` values that any
    other class shares can reach no partner and is skipped; of the others only
-   the rarest `shared - MATCHES + 1` values are merged, as two classes with
-   MATCHES common values have one of these in common.
+   the rarest `shared - matches + 1` values are merged, as two classes with
+   that many common values have one of these in common.
 4. Classes that meet under a prefix value form a coarse group; within it the
    full shingle sets decide 100 * intersection >= threshold * union.  A group
    is compared block against block, so no task holds more than two blocks, and
    a block pair returns a spanning forest of its links, never all pairs.
 5. Connected components of the links give component_id.
 
-With 64 coordinates and 36 matches a pair at similarity 0.85 is missed with a
-probability of about 1e-9.  No cap applies: every posting list is merged whole.
+`matches` is the largest count that a pair at the threshold misses with a
+probability below `MISS`.  No cap applies: every posting list is merged whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from seqengine.llm.shared import components, discard, written
 from seqengine.llm.wordhash import batches, mix, shingles, words
 
-COORDINATES, MATCHES = 64, 36
+COORDINATES, MISS = 64, 1e-8
 BLOCK = 256
 BUCKET_BYTES = 24 << 20
 _rng = np.random.default_rng(9)
@@ -38,6 +39,16 @@ _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(
 _ADD = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def matches_for(percent: int) -> int:
+    """Equal coordinates that a pair at the threshold has but for a probability of MISS."""
+    share, missed = percent / 100, 0.0
+    for count in range(COORDINATES + 1):
+        missed += comb(COORDINATES, count) * share**count * (1 - share) ** (COORDINATES - count)
+        if missed >= MISS:
+            return max(1, count)
+    return COORDINATES
+
+
 def signature(items: np.ndarray) -> np.ndarray:
     """The minimum of each of COORDINATES hash functions over a set that isn't empty."""
     low = np.empty(COORDINATES, np.uint32)
@@ -177,8 +188,9 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85) -> D
     buckets = max(parts, 1 + classes.count() * COORDINATES * 16 // BUCKET_BYTES)
     posted = classes.select("rep", "signature").mapInArrow(_post(buckets), "bucket long, tokens binary, owners binary")
     shared = posted.groupBy("bucket").applyInArrow(_count, "rep long, token long, many long")
+    matches = matches_for(percent)
     lists = shared.groupBy("rep").agg(F.collect_list(F.struct("many", "token")).alias("values"))
-    prefix = lists.where(F.size("values") >= MATCHES).select("rep", F.explode(F.slice(F.array_sort("values"), 1, F.size("values") - (MATCHES - 1))).alias("v"))
+    prefix = lists.where(F.size("values") >= matches).select("rep", F.explode(F.slice(F.array_sort("values"), 1, F.size("values") - (matches - 1))).alias("v"))
     prefix = written(prefix.select("rep", F.col("v.token").alias("token")), "prefix")
     first = prefix.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     coarse = written(components(prefix.join(first, "token").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "coarse")

@@ -157,6 +157,26 @@ def encode_column(documents: DataFrame, model: str, text: str = "text", ids: str
     return documents.mapInArrow(run, schema)
 
 
+def encode_checked(documents: DataFrame, model: str) -> DataFrame:
+    """documents with ids (array of int), n_tokens and lossless: whether the ids decode to the text."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from seqengine.llm.wordhash import batches
+
+        codec = Codec.load(model)
+        for batch in batches(stream):
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            found = [codec.encode(x) for x in texts]
+            same = [codec.decode(ids.tolist()) == x.replace(MARK, " ") for ids, x in zip(found, texts)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
+            more = [pa.ListArray.from_arrays(ends, values), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "ids", "n_tokens", "lossless"])
+
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *more]))
+
+
 def decode_digests(encoded: DataFrame, model: str) -> DataFrame:
     """Of doc_id, text and ids: number and crc32 of the ids, and the decoded text's size, sha256 and whether it is the text."""
 
