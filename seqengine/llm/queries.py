@@ -23,7 +23,7 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from seqengine.llm.token_codes import read_documents, token_segments
 
-    return read_documents(token_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return read_documents(token_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

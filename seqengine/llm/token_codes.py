@@ -32,7 +32,8 @@ from seqengine.llm.shared import written
 MAGIC = b"DAC1"
 BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
+_MARKS = frozenset(",.;:!?")
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -103,25 +104,57 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: printable ones themselves, others from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b if b in plain else 256 + rest.index(b)) for b in range(256)}
+
+
+class Aging:
+    """A bounded cache of two generations: what the older one still has comes back when asked for."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that must be learned; the others are in the newer generation afterwards."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        now, old, out = self.now, self.old, []
+        for key in keys - now.keys():
+            found = old.get(key)
+            if found is None:
+                out.append(key)
+            else:
+                now[key] = found
+        return out
+
+
 class ChunkEncoder:
-    """Byte-level BPE of whole texts, by the library, a chunk at a time.
+    """Byte-level BPE of whole texts, by the library, a word at a time.
 
     The pre-tokenizer's pattern never crosses the place before a single space
     between two other characters, so a text cut there encodes as its chunks
-    do.  A bounded cache keeps the ids of chunks; it changes speed alone.
+    do.  A chunk is cut by the same pattern and the library's model encodes the
+    words.  Bounded caches keep ids of chunks and words; they change speed alone.
     """
 
     _odd = re.compile(r"\s | \s|^ | $")
     _cut = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, pattern: str, end: int):
+        import regex
+
         self.path, self.end = path, struct.pack("<I", end)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.find = regex.compile(pattern).findall
+        self.first, self.later, self.word = Aging(CACHE_CHUNKS // 8), Aging(CACHE_CHUNKS), Aging(CACHE_CHUNKS)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text with the end id."""
@@ -133,37 +166,36 @@ class ChunkEncoder:
             else:
                 parts = text.split(" ")
             cut.append(parts)
-        if len(self.later) > CACHE_CHUNKS:
-            self.later.clear()
-        if len(self.first) > CACHE_CHUNKS:
-            self.first.clear()
-        self._learn_missing(cut)
-        first, later = self.first, self.later
-        return [first[p[0]] + b"".join([later[c] for c in p[1:]]) + self.end if len(p) > 1 else first[p[0]] + self.end for p in cut]
-
-    def _learn_missing(self, cut: list[list[str]]) -> None:
-        heads = {p[0] for p in cut} - self.first.keys()
-        rest: set[str] = set()
-        for p in cut:
-            rest.update(p[1:])
-        rest -= self.later.keys()
-        for known, new, lead in ((self.first, heads, ""), (self.later, rest, " ")):
-            ordered = list(new)
-            if ordered:
-                for chunk, found in zip(ordered, _tokenizer(self.path).encode_batch_fast([lead + c for c in ordered], add_special_tokens=False)):
-                    known[chunk] = np.array(found.ids, "<u4").tobytes()
-
-
-_encoders: dict[tuple[str, int], ChunkEncoder] = {}
-
-
-def _pack(path: str, end: int):
+        self._learn(self.first, {p[0] for p in cut}, "")
+        self._learn(self.later, set().union(*(p[1:] for p in cut)), " ")
+        first, later, end = self.first.now, self.later.now, self.end
+        return [first[p[0]] + b"".join([later[c] for c in p[1:]]) + end for p in cut]
+
+    def _learn(self, known: Aging, chunks: set[str], lead: str) -> None:
+        new = known.missing(chunks)
+        # Letters alone, or before one mark, are what the pattern would find.
+        cut = [[lead + c] if c.isalpha() else [lead + c[:-1], c[-1]] if c[-1:] in _MARKS and c[:-1].isalpha() else self.find(lead + c) for c in new]
+        self._learn_words(set().union(*cut))
+        word = self.word.now
+        for chunk, parts in zip(new, cut):
+            known.now[chunk] = b"".join([word[p] for p in parts]) if len(parts) != 1 else word[parts[0]]
+
+    def _learn_words(self, words: set[str]) -> None:
+        model = _tokenizer(self.path).model
+        for word in self.word.missing(words):
+            self.word.now[word] = np.array([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+
+
+_encoders: dict[tuple[str, str, int], ChunkEncoder] = {}
+
+
+def _pack(path: str, pattern: str, end: int):
     """Sorted documents to segments, each with the tokens of its partition before it."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from seqengine.llm.wordhash import batches
 
-        encoder = _encoders.setdefault((path, end), ChunkEncoder(path, end))
+        encoder = _encoders.setdefault((path, pattern, end), ChunkEncoder(path, pattern, end))
         part = TaskContext.get().partitionId()
         docs: list[int | None] = []
         ids: list[bytes] = []
@@ -202,14 +234,15 @@ def _pack(path: str, end: int):
 SEGMENTS = "part int, segment long, before long, tokens long, docs array<bigint>, sizes array<bigint>, codes binary"
 
 
-def token_segments(documents: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
+def token_segments(documents: DataFrame, tokenizer: str, pattern: str, end: int = 2) -> DataFrame:
     """Encode documents(doc_id, text) into a written table of token segments.
 
-    Documents are ordered by doc_id by a range exchange, nulls first; rows with
+    `tokenizer` is the library's file of a byte-level BPE and `pattern` the one
+    that cuts its words.  Documents are ordered by doc_id by a range exchange, nulls first; rows with
     equal doc_id by text.  A null text is empty and has just the end id.
     """
     ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
-    return written(ordered.mapInArrow(_pack(tokenizer, end), SEGMENTS), "segments")
+    return written(ordered.mapInArrow(_pack(tokenizer, pattern, end), SEGMENTS), "segments")
 
 
 def _read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
