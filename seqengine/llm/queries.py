@@ -26,6 +26,12 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(token_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqengine.llm.substring_dedup import repeated_passages, summary
+
+    return summary(repeated_passages(_table(spark, sf_dir, "documents")))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +67,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sentencepiece, op4_token_binary, op5_media_columns, op6_line_dedup, op7_language_id, op9_minhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_sentencepiece, op4_token_binary, op5_media_columns, op6_line_dedup, op7_language_id, op9_minhash_near_dedup, op10_benchmark_decontamination)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
