@@ -33,92 +33,106 @@ LEVELS_AN_OCTAVE = 8
 LEAST_TOKENS = 4  # below this no set reaches 0.8 without being equal
 
 #: Blank-separated tokens of a line as a sorted array of distinct hashes.
-_TOKENS = "array_sort(array_distinct(transform(filter(split({line}, ' '), w -> w <> ''), w -> xxhash64(w))))"
+_TOKENS = "sort_array(array_distinct(transform(array_remove(split({line}, ' '), ''), w -> xxhash64(w))))"
 _KEY = "xxhash64({tokens})"
 
 
-def token_levels(documents: DataFrame) -> bytes:
-    """A byte a bucket: how often its tokens occur, in eighths of an octave."""
-    words = documents.select(F.explode(F.split("text", "[ \n]")).alias("w")).where("w <> ''")
+def token_levels(documents: DataFrame) -> list[int]:
+    """For each bucket how often its tokens occur, in eighths of an octave."""
+    words = documents.select(F.explode(F.split(F.expr("replace(text, '\n', ' ')"), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
-    levels = bytearray(BUCKETS)
+    levels = [0] * BUCKETS
     for bucket, count in counts.collect():
-        levels[bucket] = min(255, int(LEVELS_AN_OCTAVE * log2(count + 1)))
-    return bytes(levels)
+        levels[bucket] = min(127, int(LEVELS_AN_OCTAVE * log2(count + 1)) // 2)
+    return levels
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """Every line with tokens: doc, line, k1, k2 and its token set."""
+def _lines(documents: DataFrame, levels: list[int]) -> DataFrame:
+    """Every line with tokens: doc, line, its set's keys k1 and k2, size n, parity sketch and prefix.
+
+    A prefix token is its level above 56 bits of its hash, so that plain order
+    of longs is the rarity order.
+    """
     rows = documents.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    tokens = rows.select("doc", "line", F.expr(_TOKENS.format(line="content")).alias("tokens")).where("size(tokens) > 0")
-    return tokens.select("doc", "line", F.expr(_KEY.format(tokens="tokens")).alias("k1"), F.xxhash64(F.lit(6), "tokens").alias("k2"), "tokens")
+    tokens = rows.select("doc", "line", F.expr(_TOKENS.format(line="content")).alias("tokens")).where("size(tokens) > 0").withColumn("n", F.size("tokens"))
+    table = f"from_json('{levels}', 'array<bigint>')"
+    ranked = F.expr(f"slice(sort_array(transform(tokens, t -> shiftleft(get({table}, cast(pmod(t, {BUCKETS}) as int)), 56) | (t & 72057594037927935))), 1, n - (4 * n + 4) div 5 + 1)")
+    parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast((t >> 20) & 63 as int)))")
+    several = F.col("n") >= LEAST_TOKENS
+    return tokens.select(
+        "doc", "line", F.expr(_KEY.format(tokens="tokens")).alias("k1"), F.xxhash64(F.lit(6), "tokens").alias("k2"), "n", F.when(several, parity).alias("parity"), F.when(several, ranked).alias("prefix")
+    )
 
 
-def _classes(documents: DataFrame, levels: bytes) -> DataFrame:
-    """One row a token set: k1, k2, first position, size n, parity sketch and prefix."""
-    lines = _lines(documents).withColumn("n", F.size("tokens"))
-    lines = lines.withColumn("levels", F.lit(bytearray(levels)))
-    ranked = F.expr(f"transform(slice(array_sort(transform(tokens, t -> struct(substring(levels, cast(pmod(t, {BUCKETS}) as int) + 1, 1) as level, t as t))), 1, n - (4 * n + 4) div 5 + 1), s -> s.t)")
-    parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast((t >> 20) & 63 as int)))")
-    narrow = lines.select("doc", "line", "k1", "k2", "n", parity.alias("parity"), F.when(F.col("n") >= LEAST_TOKENS, ranked).alias("prefix"))
-    first = F.min(F.struct("doc", "line")).alias("first")
-    return narrow.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).select("k1", "k2", "first.doc", "first.line", "n", "parity", "prefix")
+def _classes(lines: DataFrame) -> DataFrame:
+    """One row a token set, numbered by first position: id, k1, k2, doc, line, n, parity, prefix.
+
+    The range exchange puts first positions in order, so ids ascend with them.
+    """
+    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    ordered = grouped.select("first.doc", "first.line", "k1", "k2", "n", "parity", "prefix").repartitionByRange("doc", "line", "k1").sortWithinPartitions("doc", "line", "k1")
+    return ordered.withColumn("id", F.monotonically_increasing_id())
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """A row a prefix token: token, place, size class and the class's columns."""
-    rows = classes.where("prefix is not null").select("k1", "doc", "line", "n", "parity", "open", F.posexplode("prefix").alias("place", "token"))
-    return rows.withColumn("span", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    """A row a prefix token: token (31 bits of its hash), place, size class and the class's columns."""
+    rows = classes.where("prefix is not null").select("id", "n", "parity", "open", F.posexplode("prefix").alias("place", "t"))
+    token = F.expr("cast(t & 2147483647 as int)")
+    return rows.select(token.alias("token"), "id", "parity", F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(place, 1) | open").alias("packed"))
+
+
+def _side(postings: DataFrame, side: str) -> DataFrame:
+    """Postings with the packed columns apart, their names begun by `side`."""
+    columns = {"token": "token", "id": "id", "parity": "parity", "n": "cast(packed >> 32 as int)", "place": "cast((packed >> 1) & 2147483647 as int)", "open": "packed & 1"}
+    return postings.selectExpr(*(f"{e} as {side}{name}" for name, e in columns.items()))
 
 
-#: Length, positional and parity filters; need = ceil(0.8 / 1.8 * (x.n + y.n)).
+#: Length, positional and parity filters; the overlap needed is ceil(0.8 / 1.8 * (xn + yn)).
 _FILTERS = (
-    "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
-    " and least(x.n - x.place, y.n - y.place) >= (4 * (x.n + y.n) + 8) div 9"
-    " and bit_count(x.parity ^ y.parity) * 9 <= x.n + y.n"
+    "yid < xid and 5 * least(xn, yn) >= 4 * greatest(xn, yn)"
+    " and least(xn - xplace, yn - yplace) >= (4 * (xn + yn) + 8) div 9"
+    " and bit_count(xparity ^ yparity) * 9 <= xn + yn"
 )
-_EARLIER = "(y.doc < x.doc or (y.doc = x.doc and (y.line < x.line or (y.line = x.line and y.k1 < x.k1))))"
-_PAIR = ["x.k1 as xk", "x.doc as xd", "x.line as xl", "y.k1 as yk", "y.doc as yd", "y.line as yl"]
-
-
-def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The later classes (k1) of pairs whose full token sets have similarity 0.8 or more."""
-    ends = pairs.selectExpr("xk as k1", "xd as doc", "xl as line").unionAll(pairs.selectExpr("yk", "yd", "yl")).distinct()
-    texts = documents.hint("merge").join(ends.groupBy("doc").agg(F.collect_set(F.struct("line", "k1")).alias("want")), "doc")
-    lines = texts.select(F.explode("want").alias("w"), "text").select("w.k1", F.get(F.split("text", "\n"), F.col("w.line")).alias("content"))
-    sets = lines.where("content is not null").select("k1", F.expr(_TOKENS.format(line="content")).alias("tokens")).where(F.expr(_KEY.format(tokens="tokens") + " = k1")).dropDuplicates(["k1"])
-    x = sets.select(F.col("k1").alias("xk"), F.col("tokens").alias("xt"))
-    y = sets.select(F.col("k1").alias("yk"), F.col("tokens").alias("yt"))
-    both = pairs.select("xk", "yk").join(x.hint("merge"), "xk").join(y.hint("merge"), "yk")
+
+
+def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The later classes (id) of pairs (xid, yid) whose full token sets have similarity 0.8 or more."""
+    ends = pairs.select(F.explode(F.array("xid", "yid")).alias("id")).distinct()
+    where = classes.select("id", "doc", "line", "k1").join(ends, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "k1")).alias("want"))
+    texts = documents.hint("merge").join(where, "doc").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
+    lines = texts.select("w.id", "w.k1", F.get("lines", F.col("w.line")).alias("content")).where("content is not null")
+    sets = lines.select("id", "k1", F.expr(_TOKENS.format(line="content")).alias("tokens")).where(F.expr(_KEY.format(tokens="tokens") + " = k1")).dropDuplicates(["id"])
+    both = pairs.join(sets.select(F.col("id").alias("xid"), F.col("tokens").alias("xt")).hint("merge"), "xid").join(sets.select(F.col("id").alias("yid"), F.col("tokens").alias("yt")).hint("merge"), "yid")
     common = F.size(F.array_intersect("xt", "yt"))
-    return both.where(5 * common >= 4 * (F.size("xt") + F.size("yt") - common)).select(F.col("xk").alias("k1")).distinct()
+    return both.where(5 * common >= 4 * (F.size("xt") + F.size("yt") - common)).select(F.col("xid").alias("id")).distinct()
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
     """The lines to remove, from documents(doc, text): doc, line, k1."""
-    levels = token_levels(documents)
-    classes = written(_classes(documents, levels), "classes")
-
-    dealt = _postings(classes.withColumn("open", F.lit(True))).repartition("token")
-    earliest = F.min(F.struct("doc", "line", "k1", "n", "parity", "place")).alias("y")
-    hubs = dealt.groupBy("token", "span").agg(earliest, F.count("*").alias("many")).where("many > 1").select("token", "span", "y.*")
-    near = "abs(x.span - y.span) <= 1"
-    star = dealt.alias("x").join(hubs.alias("y").hint("merge"), F.expr(f"x.token = y.token and {near} and {_FILTERS} and {_EARLIER}")).selectExpr(*_PAIR).distinct()
+    lines = written(_lines(documents, token_levels(documents)), "lines")
+    classes = written(_classes(lines), "classes")
+
+    # Each list's earliest class of a size class, found within the tokens' own exchange, meets the others.
+    dealt = _postings(classes.withColumn("open", F.lit(1))).where("token is not null").repartition("token")
+    span = F.expr("cast(floor(log(packed >> 32) / log(1.25D)) as int)")
+    earliest = F.min(F.struct("id", "parity", "packed")).alias("y")
+    hubs = dealt.groupBy("token", span.alias("span")).agg(earliest, F.count("*").alias("many")).where("many > 1").select("token", "y.*")
+    star = _side(dealt, "x").join(_side(hubs, "y").hint("merge"), F.expr(f"xtoken = ytoken and {_FILTERS}")).select("xid", "yid").distinct()
     star = written(star, "star")
-    gone = written(_verified(documents, star), "gone")
+    gone = written(_verified(documents, classes, star), "gone")
 
-    marked = classes.join(gone.select("k1", F.lit(False).alias("o")), "k1", "left").withColumn("open", F.col("o").isNull())
+    marked = classes.join(gone.select("id", F.lit(0).alias("o")).hint("merge"), "id", "left").withColumn("open", F.coalesce("o", F.lit(1)))
     postings = _postings(marked)
-    rest = postings.alias("x").join(postings.alias("y").hint("merge"), F.expr(f"x.token = y.token and x.open and {near} and {_FILTERS} and {_EARLIER}")).selectExpr(*_PAIR).distinct()
-    rest = written(rest.join(star.select("xk", "yk"), ["xk", "yk"], "left_anti"), "rest")
-    late = written(_verified(documents, rest), "late")
-
-    removed = gone.unionAll(late).select("k1", F.lit(True).alias("out"))
-    info = classes.join(removed, "k1", "left").select("k1", "k2", F.col("doc").alias("fd"), F.col("line").alias("fl"), F.col("out").isNotNull().alias("out"))
-    # Positions alone are dealt here; an occurrence is kept if it is its class's first and the class stays.
-    places = _lines(documents).select("doc", "line", "k1", "k2")
-    out = written(places.join(info.hint("merge"), ["k1", "k2"]).where("out or doc <> fd or line <> fl").select("doc", "line", "k1").distinct(), "removed")
-    for table in (star, gone, rest, late, classes):
+    rest = _side(postings, "x").join(_side(postings, "y").hint("merge"), F.expr(f"xtoken = ytoken and xopen = 1 and {_FILTERS}")).select("xid", "yid").distinct()
+    rest = written(rest.join(star, ["xid", "yid"], "left_anti"), "rest")
+    late = written(_verified(documents, classes, rest), "late")
+
+    removed = gone.unionAll(late).withColumn("out", F.lit(True))
+    info = classes.select("id", "k1", "k2", F.col("doc").alias("fd"), F.col("line").alias("fl")).join(removed, "id", "left").drop("id")
+    # An occurrence is kept if it is its class's first and the class stays.
+    out = lines.select("doc", "line", "k1", "k2").join(info.hint("merge"), ["k1", "k2"]).where("out or doc <> fd or line <> fl").select("doc", "line", "k1").distinct()
+    out = written(out, "removed")
+    for table in (star, gone, rest, late, classes, lines):
         discard(table)
     return out
 
@@ -140,14 +154,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     gone = removed_lines(narrow).groupBy("doc").agg(F.collect_set(F.struct("line", "k1")).alias("__gone"))
     whole = documents.withColumn("__doc", place)
     joined = whole.hint("merge").join(gone, F.col("__doc") == F.col("doc"), "left").drop("doc", "__doc")
-    rows = F.expr("transform(split(text, '\n'), (content, line) -> struct(line as line, content as content, size(filter(split(content, ' '), w -> w <> '')) as n))")
-    key = _KEY.format(tokens=_TOKENS.format(line="r.content"))
-    kept = F.expr(f"filter(__rows, r -> r.n = 0 or not array_contains(__gone, struct(r.line as line, {key} as k1)))")
-    return (
-        joined.withColumn("__rows", rows)
-        .withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__rows")).otherwise(kept))
-        .withColumn("n_lines", F.coalesce(F.expr("size(filter(__rows, r -> r.n > 0))"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("__rows") - F.size("__kept"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda r: r["content"]), "\n")))
-        .select(*documents.columns, "n_lines", "n_removed")
-    )
+    key = _KEY.format(tokens=_TOKENS.format(line="c"))
+    kept = f"filter(__lines, (c, i) -> trim(c) = '' or not array_contains(__gone, struct(i as line, {key} as k1)))"
+    split = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__kept", F.expr(f"if(__gone is null, __lines, {kept})"))
+    results = {
+        "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")),
+        "n_lines": F.coalesce(F.expr("size(filter(__lines, c -> trim(c) <> ''))"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"),
+    }
+    return split.select(*[results["text"].alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns], results["n_lines"].alias("n_lines"), results["n_removed"].alias("n_removed"))
