@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqengine.llm.warc import audit, flip_marked, replicate, tree, warc_files
+
+    files = warc_files(_table(spark, sf_dir, "pages"))
+    found = audit(tree(files), tree(replicate(files, flip_marked)))
+    return found.select(F.col("page_id_a").alias("page_id"), (F.col("end_a") - F.col("first_a")).alias("record_bytes"), F.col("digest_a").alias("sha256"), F.col("digest_b").alias("replica_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqengine.llm.near_dedup import near_duplicates
 
@@ -32,6 +40,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(repeated_passages(_table(spark, sf_dir, "documents")))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqengine.llm.quotation import chat_parts, linked_messages
+
+    parts = chat_parts(linked_messages(_table(spark, sf_dir, "conversations")))
+    return parts.select("conv_id", "part", "messages", "quoting", F.md5("chat").alias("chat_md5"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,11 +82,36 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_sentencepiece, op4_token_binary, op5_media_columns, op6_line_dedup, op7_language_id, op9_minhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quotation_linking, op3_sentencepiece, op4_token_binary, op5_media_columns, op6_line_dedup, op7_language_id, op8_warc_fixity, op9_minhash_near_dedup, op10_benchmark_decontamination)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
+_RECORD = """'WARC/1.0' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:md5:' || md5(p) || '>' || e || 'WARC-Page-ID: ' || p || e
+  || 'WARC-Date: 2024-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || e
+  || 'Content-Type: application/http; msgtype=response' || e || 'Content-Length: ' || strlen(body) || e || e"""
+
 ORACLES: dict[str, str] = {
+    "op2_quotation_linking": """
+WITH m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT conv_id, turn, role, text, list_transform(string_split(text, chr(10)), lambda x: {'level': length(replace(regexp_extract(x, '^((?:> ?)*)', 1), ' ', '')),
+  'content': CASE WHEN length(regexp_extract(x, '^((?:> ?)*)', 1)) > 0 THEN regexp_replace(x, '^((?:> ?)*)', '') ELSE x END}) AS ls FROM m),
+o AS (SELECT *, trim(array_to_string(list_transform(list_filter(ls, lambda x: x.level = 0), lambda x: x.content), chr(10))) AS own,
+  len(list_filter(ls, lambda x: x.level > 0)) > 0 AS quoted,
+  row_number() OVER w - 1 AS position, lag(turn) OVER w AS previous FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT conv_id, turn, role, text, lv, trim(regexp_replace(lower(unnest(regexp_extract_all(
+  array_to_string(list_transform(list_filter(ls, lambda x: x.level = lv), lambda x: x.content), ' '), '[^.!?]+'))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS s FROM l, (VALUES (0), (1)) v(lv)),
+h AS (SELECT a.conv_id, a.turn, a.role, a.text, b.turn AS source, count(DISTINCT a.s) AS hits FROM s a JOIN s b
+  ON a.lv = 1 AND b.lv = 0 AND a.s = b.s AND a.s <> '' AND a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY ALL),
+b AS (SELECT conv_id, turn, role, text, arg_max(source, (hits, source)) AS source FROM h GROUP BY ALL),
+f AS (SELECT o.conv_id, position, quoted, '<|' || coalesce(o.role, '') || '|>' || CASE WHEN source IS NOT NULL AND source IS DISTINCT FROM previous THEN '<|answers ' || source || '|>' ELSE '' END
+  || chr(10) || own || '<|end|>' AS line FROM o LEFT JOIN b ON o.conv_id = b.conv_id AND o.turn = b.turn AND o.role = b.role AND o.text = b.text)
+SELECT conv_id, position // 64 AS part, count(*) AS messages, count(*) FILTER (quoted) AS quoting, md5(string_agg(line, chr(10) ORDER BY position)) AS chat_md5
+FROM f GROUP BY conv_id, position // 64""",
+    "op8_warc_fixity": f"""
+WITH r AS (SELECT page_id, CAST(page_id AS VARCHAR) AS p, url, chr(13) || chr(10) AS e,
+  'TTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS tail, 'H' || tail AS body FROM pages)
+SELECT page_id, strlen({_RECORD} || body || e || e) AS record_bytes, sha256({_RECORD} || body || e || e) AS sha256, sha256({_RECORD} || 'X' || tail || e || e) AS replica_sha256
+FROM r WHERE md5(p)[1] = '0'""",
     "op6_line_dedup": """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS content FROM d),
