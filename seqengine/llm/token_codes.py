@@ -17,7 +17,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -114,26 +114,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else 256 + rest.index(b)) for b in range(256)}
 
 
-class Aging:
-    """A bounded cache of two generations: what the older one still has comes back when asked for."""
+class Aging(dict):
+    """A bounded cache that learns what it is asked for.
 
-    def __init__(self, size: int):
-        self.size = size
-        self.now: dict[str, bytes] = {}
+    When it is full its entries become the older generation, from which those
+    still asked for come back.
+    """
+
+    def __init__(self, size: int, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.size, self.learn = size, learn
         self.old: dict[str, bytes] = {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that must be learned; the others are in the newer generation afterwards."""
-        if len(self.now) > self.size:
-            self.now, self.old = {}, self.now
-        now, old, out = self.now, self.old, []
-        for key in keys - now.keys():
-            found = old.get(key)
-            if found is None:
-                out.append(key)
-            else:
-                now[key] = found
-        return out
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.learn(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class ChunkEncoder:
@@ -145,45 +146,50 @@ class ChunkEncoder:
     words.  Bounded caches keep ids of chunks and words; they change speed alone.
     """
 
-    _odd = re.compile(r"\s | \s|^ | $")
     _cut = re.compile(r"(?<=\S)(?= \S)")
+    #: Every character that the library or Python counts as white space.
+    _blanks = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str, pattern: str, end: int):
         import regex
 
-        self.path, self.end = path, struct.pack("<I", end)
+        self.model, self.end = _tokenizer(path).model, struct.pack("<I", end)
         self.letters = _byte_letters()
         self.find = regex.compile(pattern).findall
-        self.first, self.later, self.word = Aging(CACHE_CHUNKS // 8), Aging(CACHE_CHUNKS), Aging(CACHE_CHUNKS)
+        self.first = Aging(CACHE_CHUNKS // 8, lambda c: self._chunk("", c))
+        self.later = Aging(CACHE_CHUNKS, lambda c: self._chunk(" ", c))
+        self.word = Aging(CACHE_CHUNKS, self._word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text with the end id."""
-        cut = []
+        first, later, end = self.first, self.later, self.end
+        out = []
         for text in texts:
-            if self._odd.search(text):
-                parts = self._cut.split(text)
-                parts[1:] = [p[1:] for p in parts[1:]]
+            if self._uneven(text):
+                head, *rest = self._cut.split(text)
+                rest = [c[1:] for c in rest]
             else:
-                parts = text.split(" ")
-            cut.append(parts)
-        self._learn(self.first, {p[0] for p in cut}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in cut)), " ")
-        first, later, end = self.first.now, self.later.now, self.end
-        return [first[p[0]] + b"".join([later[c] for c in p[1:]]) + end for p in cut]
-
-    def _learn(self, known: Aging, chunks: set[str], lead: str) -> None:
-        new = known.missing(chunks)
+                head, *rest = text.split(" ")
+            out.append(first[head] + b"".join([later[c] for c in rest]) + end)
+        return out
+
+    def _uneven(self, text: str) -> bool:
+        """Whether a space stands beside white space or at an end."""
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return True
+        return any(b in text and (b + " " in text or " " + b in text) for b in (self._blanks if not text.isascii() else self._blanks[:9]))
+
+    def _chunk(self, lead: str, chunk: str) -> bytes:
         # Letters alone, or before one mark, are what the pattern would find.
-        cut = [[lead + c] if c.isalpha() else [lead + c[:-1], c[-1]] if c[-1:] in _MARKS and c[:-1].isalpha() else self.find(lead + c) for c in new]
-        self._learn_words(set().union(*cut))
-        word = self.word.now
-        for chunk, parts in zip(new, cut):
-            known.now[chunk] = b"".join([word[p] for p in parts]) if len(parts) != 1 else word[parts[0]]
-
-    def _learn_words(self, words: set[str]) -> None:
-        model = _tokenizer(self.path).model
-        for word in self.word.missing(words):
-            self.word.now[word] = np.array([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        if chunk.isalpha():
+            return self.word[lead + chunk]
+        if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+            return self.word[lead + chunk[:-1]] + self.word[chunk[-1]]
+        return b"".join([self.word[w] for w in self.find(lead + chunk)])
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
 
 _encoders: dict[tuple[str, str, int], ChunkEncoder] = {}
