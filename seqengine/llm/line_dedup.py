@@ -24,6 +24,7 @@ from __future__ import annotations
 from math import log2
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqengine.llm.shared import discard, written
@@ -112,12 +113,11 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     lines = written(_lines(documents, token_levels(documents)), "lines")
     classes = written(_classes(lines), "classes")
 
-    # Each list's earliest class of a size class, found within the tokens' own exchange, meets the others.
-    dealt = _postings(classes.withColumn("open", F.lit(1))).where("token is not null").repartition("token")
-    span = F.expr("cast(floor(log(packed >> 32) / log(1.25D)) as int)")
-    earliest = F.min(F.struct("id", "parity", "packed")).alias("y")
-    hubs = dealt.groupBy("token", span.alias("span")).agg(earliest, F.count("*").alias("many")).where("many > 1").select("token", "y.*")
-    star = _side(dealt, "x").join(_side(hubs, "y").hint("merge"), F.expr(f"xtoken = ytoken and {_FILTERS}")).select("xid", "yid").distinct()
+    # Within the tokens' one exchange, each list's earliest class of a size class meets the others.
+    dealt = _side(_postings(classes.withColumn("open", F.lit(1))).repartition("token"), "x").withColumn("span", F.expr("cast(floor(log(xn) / log(1.25D)) as int)"))
+    hub = F.first(F.struct("xid", "xparity", "xn", "xplace")).over(W.partitionBy("xtoken", "span").orderBy("xid").rowsBetween(W.unboundedPreceding, 0))
+    met = dealt.withColumn("y", hub).select("*", *[F.col(f"y.x{c}").alias(f"y{c}") for c in ("id", "parity", "n", "place")])
+    star = met.where(_FILTERS).select("xid", "yid").distinct()
     star = written(star, "star")
     gone = written(_verified(documents, classes, star), "gone")
 
