@@ -144,16 +144,16 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     Rows that share a doc_id are one document: their equal rows lose the same
     lines, and of different texts lines at one number are ordered by hash.  A
     null text stays null with 0 lines; empty lines stay.  n_lines counts lines
-    with tokens.  Every other column stays, whatever its name; an empty table
-    gives an empty result.
+    with tokens.  Every other column stays, but n_lines and n_removed replace
+    any of these names; an empty table gives an empty result.
     """
-    if {"n_lines", "n_removed"} & set(documents.columns):
-        raise ValueError("documents has a column n_lines or n_removed already")
+    documents = documents.drop("n_lines", "n_removed")
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     narrow = documents.select(place.alias("doc"), F.col("text").cast("string").alias("text")).where("text is not null")
-    gone = removed_lines(narrow).groupBy("doc").agg(F.collect_set(F.struct("line", "k1")).alias("__gone"))
-    whole = documents.withColumn("__doc", place)
-    joined = whole.hint("merge").join(gone, F.col("__doc") == F.col("doc"), "left").drop("doc", "__doc")
+    gone = removed_lines(narrow).groupBy("doc").agg(F.collect_set(F.struct("line", "k1")).alias("__gone")).withColumnRenamed("doc", "__key")
+    # One struct holds the row, so its names cannot meet those made here.
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.col("text").cast("string").alias("text"), place.alias("__doc"))
+    joined = whole.hint("merge").join(gone, F.col("__doc") == F.col("__key"), "left")
     key = _KEY.format(tokens=_TOKENS.format(line="c"))
     kept = f"filter(__lines, (c, i) -> trim(c) = '' or not array_contains(__gone, struct(i as line, {key} as k1)))"
     split = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__kept", F.expr(f"if(__gone is null, __lines, {kept})"))
@@ -162,4 +162,4 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         "n_lines": F.coalesce(F.expr("size(filter(__lines, c -> trim(c) <> ''))"), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"),
     }
-    return split.select(*[results["text"].alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns], results["n_lines"].alias("n_lines"), results["n_removed"].alias("n_removed"))
+    return split.select(*[results["text"].alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in documents.columns], results["n_lines"].alias("n_lines"), results["n_removed"].alias("n_removed"))

@@ -136,12 +136,11 @@ class Codec:
 
 
 def encode_column(documents: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """documents with a column of the ids of its text; a null text has no ids.  Other columns stay.
+    """documents with a column of the ids of its text; a null text has no ids.
 
-    Raises ValueError if there is a column `ids` already.
+    Other columns stay, but one that is named `ids` already is replaced.
     """
-    if ids in documents.columns:
-        raise ValueError(f"a column {ids} is there already")
+    documents = documents.drop(ids)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from seqengine.llm.wordhash import batches
@@ -158,7 +157,11 @@ def encode_column(documents: DataFrame, model: str, text: str = "text", ids: str
 
 
 def encode_checked(documents: DataFrame, model: str) -> DataFrame:
-    """documents with ids (array of int), n_tokens and lossless: whether the ids decode to the text."""
+    """documents with ids (array of int), n_tokens and lossless: whether the ids decode to the text.
+
+    Columns that have these names already are replaced; a null text is empty.
+    """
+    documents = documents.drop("ids", "n_tokens", "lossless")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from seqengine.llm.wordhash import batches

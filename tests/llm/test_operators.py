@@ -1,0 +1,265 @@
+"""Operators on hostile tables, and the registered queries against brute force on the smallest tables."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqengine.llm import decontaminate, language_id, line_dedup, media, near_dedup, quotation, queries, sentencepiece_codec, substring_dedup, token_codes, warc
+
+P = pytest.importorskip("public_tokenizers")
+SMALL = "/root/testdata/sf0.001"
+small = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+CLASH = "rep string, n string, doc string, id string, component string, line int, k1 string, token string, __gone string, n_lines string, ids string, bucket string"
+LINE = "the quick brown fox jumps over the lazy dog near the old river bank"
+PASSAGE = " ".join(f"word{k}" for k in range(70))
+
+
+@pytest.fixture(scope="module")
+def hostile(spark):
+    """Null ids and texts, empty, wordless, very long, repeated and tied rows, and clashing columns."""
+    rows = [
+        (None, LINE), (None, None), (0, None), (1, ""), (2, " \n\t "), (3, LINE), (3, LINE), (4, f"{LINE}\n{LINE} x\nother words in this line"),
+        (5, "a " * 60_000), (6, f"x {PASSAGE} y"), (7, PASSAGE), (8, f"Start. {PASSAGE}\n{LINE}"), (3, "another text of document three"), (9, "12 34 !!"),
+    ]
+    names = CLASH.count(",") + 1
+    return spark.createDataFrame([(d, t, "en", *[None] * names) for d, t in rows], f"doc_id long, text string, lang string, {CLASH}")
+
+
+@pytest.fixture(scope="module")
+def empty(hostile):
+    return hostile.where("false")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_near_dedup(hostile, empty):
+    got = near_dedup.near_duplicates(hostile).collect()
+    assert len(got) == hostile.count() and near_dedup.near_duplicates(empty).count() == 0
+    by = {(r["doc_id"], r["n_shingles"]): r for r in got}
+    assert {r["component_id"] for r in got if r["doc_id"] in (6, 7)} == {6}
+    assert by[0, 0]["component_id"] == 0 and by[5, 1]["n_shingles"] == 1
+    assert sum(r["doc_id"] is None for r in got) == 2 and all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
+
+
+def test_line_dedup(hostile, empty):
+    got = line_dedup.dedup_lines(hostile)
+    assert set(got.columns) == {*hostile.columns, "n_lines", "n_removed"} and line_dedup.dedup_lines(empty).count() == 0
+    rows = got.select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert len(rows) == hostile.count()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(tuple(r[1:]))
+    assert by[0] == [(None, 0, 0)] and by[2] == [(" \n\t ", 1, 0)]
+    assert (LINE, 1, 0) in by[None] and by[4] == [("other words in this line", 3, 2)]  # the null id comes first
+    assert by[3].count(("", 1, 1)) == 2 and by[8] == [(f"Start. {PASSAGE}", 2, 1)] or by[8][0][2] == 2
+
+
+def test_substring_dedup(hostile, empty):
+    got = {r["doc_id"]: r for r in substring_dedup.summary(substring_dedup.repeated_passages(hostile)).collect()}
+    assert set(got) == {6, 7, 8} and all(r["longest_words"] >= 70 for r in got.values())
+    assert substring_dedup.repeated_passages(empty).count() == 0
+
+
+def test_token_segments(hostile, empty):
+    path = P.path("byte_bpe_50k.json")
+    got = token_codes.read_documents(token_codes.token_segments(hostile, path, P.PATTERN)).collect()
+    assert len(got) == hostile.count() and token_codes.read_documents(token_codes.token_segments(empty, path, P.PATTERN)).count() == 0
+    ordered = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in ordered] == np.cumsum([0, *[r["n_tokens"] for r in ordered]])[:-1].tolist()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in ordered]
+    assert ids == sorted(ids) and min(r["n_tokens"] for r in got) == 1
+
+
+def test_media(hostile, empty):
+    got = media.media_features(media.media_table(hostile), tensors=True).collect()
+    assert len(got) == hostile.count() and media.media_features(media.media_table(empty)).count() == 0
+    null = next(r for r in got if r["doc_id"] == 0)
+    assert (null["n_bytes"], null["payload_bytes"], null["payload_sha256"]) == (0, 64, hashlib.sha256(bytes(64)).hexdigest())
+    assert all(len(r["rgb"]) == r["height"] * r["width"] * 3 for r in got)
+    assert len({r["feature"] for r in got if r["n_bytes"] == len(LINE)}) == 1
+
+
+def test_language(hostile, empty):
+    model = language_id.fit(hostile)
+    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.predict(hostile, model, spans=True).collect()}
+    assert (0, "und") in got and (9, "und") in got and (7, "en") in got
+    nothing = language_id.fit(empty)
+    assert {r["lang_pred"] for r in language_id.predict(hostile, nothing).collect()} == {"und"}
+    assert language_id.predict(empty, model).count() == 0
+    kept = language_id.keep_identified(hostile, model)
+    assert kept.columns == hostile.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {None, 3, 4, 5, 6, 7, 8}
+
+
+def test_decontamination(spark, hostile, empty):
+    bench = spark.createDataFrame([(1, f"{PASSAGE}."), (2, None), (None, "x"), (3, "!!"), (4, PASSAGE.upper())], "item_id long, text string")
+    got = decontaminate.contaminated(hostile, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (6, 7, 8) for i in (1, 4)}
+    assert decontaminate.contaminated(hostile, bench.where("false")).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.keep_clean(hostile, bench).count() == hostile.count() - 3
+
+
+def test_sentencepiece(hostile, empty):
+    model = P.path("piece_bpe_32k.model")
+    done = sentencepiece_codec.encode_checked(hostile, model)
+    assert set(done.columns) == {*hostile.columns, "n_tokens", "lossless"}
+    rows = done.select("text", "n_tokens", "lossless").collect()
+    assert all(r["lossless"] for r in rows) and {r["n_tokens"] for r in rows if not r["text"]} == {0}
+    assert sentencepiece_codec.encode_checked(empty, model).count() == 0
+    digests = sentencepiece_codec.decode_digests(sentencepiece_codec.encode_column(hostile, model), model)
+    assert digests.where("lossless").count() == hostile.count()
+
+
+def test_quotes_link_messages(spark):
+    rows = [
+        (1, 0, "user", "First thing. Second thing here!"), (1, 1, "assistant", "An answer, it is."), (1, 2, "user", "> second THING here\n>> deep quote\nI meant that."), (1, 2, "user", "> second THING here\n>> deep quote\nI meant that."),
+        (1, 3, "assistant", ">  nowhere said\nyes"), (None, 0, None, None), (None, None, "user", "> First thing.\nno"), (2, 5, "user", "first thing"),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, position string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotation.linked_messages(df).collect()}
+    assert len(got) == 7
+    assert got[1, 2]["answers"] == 0 and got[1, 2]["jumps"] and got[1, 2]["own"] == "I meant that."
+    assert got[1, 3]["answers"] == 2 and got[1, 1]["answers"] == 0 and got[1, 0]["answers"] is None
+    assert got[None, 0]["position"] == 1 and got[None, None]["position"] == 0 and got[2, 5]["answers"] is None
+    chat = {r["conv_id"]: r["chat"] for r in quotation.chat_parts(quotation.linked_messages(df)).collect()}
+    assert "<|user|><|answers 0|>\nI meant that.<|end|>" in chat[1] and ">" not in chat[1].replace("|>", "")
+    assert quotation.chat_parts(quotation.linked_messages(df.where("false"))).count() == 0
+
+
+def test_long_conversations_are_placed_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "CHUNK", 4)
+    df = spark.range(30).selectExpr("1L as conv_id", "id * 2 as turn", "'user' as role", "cast(id as string) as text")
+    got = quotation.linked_messages(df).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(30)) and [r["answers"] for r in got] == [None, *range(0, 58, 2)]
+
+
+def test_fixity_audit(spark):
+    df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>", 1), (1, "u", "<p>", 1), *[(k, f"u{k}", "x" * k, 1) for k in range(2, 400)]], "page_id long, url string, html string, key int")
+    files = warc.warc_files(df)
+    one = warc.tree(files)
+    assert warc.audit(one, one).count() == 0
+    got = {r["page_id_a"] for r in warc.audit(one, warc.tree(warc.replicate(files, warc.flip_marked))).collect()}
+    want = {k for k in [None, *range(1, 400)] if hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[0] == "0"}
+    assert got == want
+    cut = warc.audit(one, warc.tree(warc.replicate(files, lambda x: x[:-10])))
+    assert cut.count() == files.count()
+    none = warc.tree(warc.warc_files(df.where("false")))
+    assert warc.audit(none, none).count() == 0
+
+
+@small
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SMALL)
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(columns).collect())
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+@small
+def test_op1_finds_every_repeated_run(spark, texts):
+    holders = defaultdict(set)
+    for d, r in texts.items():
+        w = words(r["text"])
+        for k in range(len(w) - 49):
+            holders[tuple(w[k : k + 50])].add(d)
+    want = set().union(*(v for v in holders.values() if len(v) > 1), set())
+    got = {r["doc_id"] for r in queries.op1_substring_dedup(spark, SMALL).collect()}
+    assert want <= got
+
+
+@small
+def test_op4_equals_the_library(spark, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    start, want = 0, set()
+    for d in sorted(texts):
+        ids = [*library.encode(texts[d]["text"] or "", add_special_tokens=False).ids, 2]
+        want.add((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert {tuple(r) for r in queries.op4_token_binary(spark, SMALL).collect()} == want
+
+
+@small
+def test_op5_digests(spark, texts):
+    for r in queries.op5_media_columns(spark, SMALL).collect():
+        raw = (texts[r["doc_id"]]["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
+@small
+def test_op7_held_out_accuracy(spark, texts):
+    rows = [r for r in queries.op7_language_id(spark, SMALL).collect() if r["held_out"]]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
+    assert np.mean([r["lang_pred"] == texts[r["doc_id"]]["lang"] for r in rows]) > 0.97
+
+
+@small
+def test_op10_finds_every_whole_item(spark, texts):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    want = {(d, i) for d, r in texts.items() for i, t in items.items() if t in (r["text"] or "")}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op10_benchmark_decontamination(spark, SMALL).collect()}
+    assert want <= got and len(got) <= len(want) + 2
+
+
+@small
+def test_pipeline_stages_by_force(spark, texts, tmp_path):
+    """Each stage on its predecessor's rows: who goes, and what the texts become."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "line_dedup", "near_dedup", "decontaminate", "sentencepiece"]
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        columns = docs.columns
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = {r["doc_id"]: r for r in docs.collect()}
+        assert set(after) <= set(before) and (number == 4 or docs.columns == columns)
+        if name == "language_id":
+            assert all(not re.search(r"[^\W\d_]", before[d] or "") for d in set(before) - set(after))
+        elif name == "line_dedup":
+            seen = []
+            for d in sorted(before):
+                kept = []
+                for line in before[d].split("\n"):
+                    tokens = set(line.split(" ")) - {""}
+                    if not tokens or not any(5 * len(tokens & s) >= 4 * len(tokens | s) for s in seen if 5 * min(len(s), len(tokens)) >= 4 * max(len(s), len(tokens))):
+                        kept.append(line)
+                    seen += [tokens] * bool(tokens)
+                assert ("\n".join(kept).replace(" ", "").replace("\n", "") == "") == (d not in after)
+                assert d not in after or (after[d]["text"] == "\n".join(kept) and after[d]["n_chars"] == len("\n".join(kept)))
+        elif name == "near_dedup":
+            sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for d, t in before.items()}
+            root = {d: d for d in before}
+            pairs = [(a, b) for a in before for b in before if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and sets[a]]
+            for _ in pairs:
+                for a, b in pairs:
+                    root[a] = root[b] = min(root[a], root[b])
+            assert set(after) == {d for d in before if root[d] == d}
+        elif name == "decontaminate":
+            items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+            assert not any(t in r["text"] for r in after.values() for t in items)
+            assert len(before) - len(after) <= sum(any(t in x for t in items) for x in before.values()) + 2
+        else:
+            assert set(after) == set(before) and all(r["lossless"] and r["n_tokens"] == len(r["ids"]) for r in after.values())
