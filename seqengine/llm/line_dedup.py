@@ -55,7 +55,8 @@ def _lines(documents: DataFrame, levels: list[int]) -> DataFrame:
     of longs is the rarity order.
     """
     rows = documents.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    tokens = rows.select("doc", "line", F.expr(_TOKENS.format(line="content")).alias("tokens")).where("size(tokens) > 0").withColumn("n", F.size("tokens"))
+    # The filter reads the line, not its tokens: pushed below them it would compute them twice.
+    tokens = rows.where("trim(content) <> ''").select("doc", "line", F.expr(_TOKENS.format(line="content")).alias("tokens")).withColumn("n", F.size("tokens"))
     table = f"from_json('{levels}', 'array<bigint>')"
     ranked = F.expr(f"slice(sort_array(transform(tokens, t -> shiftleft(get({table}, cast(pmod(t, {BUCKETS}) as int)), 56) | (t & 72057594037927935))), 1, n - (4 * n + 4) div 5 + 1)")
     parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast((t >> 20) & 63 as int)))")
@@ -102,7 +103,8 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
     where = classes.select("id", "doc", "line", "k1").join(ends, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "k1")).alias("want"))
     texts = documents.hint("merge").join(where, "doc").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
     lines = texts.select("w.id", "w.k1", F.get("lines", F.col("w.line")).alias("content")).where("content is not null")
-    sets = lines.select("id", "k1", F.expr(_TOKENS.format(line="content")).alias("tokens")).where(F.expr(_KEY.format(tokens="tokens") + " = k1")).dropDuplicates(["id"])
+    # A generator's output keeps the filter above it.
+    sets = lines.select("id", "k1", F.explode(F.array(F.expr(_TOKENS.format(line="content")))).alias("tokens")).where(F.expr(_KEY.format(tokens="tokens") + " = k1")).dropDuplicates(["id"])
     both = pairs.join(sets.select(F.col("id").alias("xid"), F.col("tokens").alias("xt")).hint("merge"), "xid").join(sets.select(F.col("id").alias("yid"), F.col("tokens").alias("yt")).hint("merge"), "yid")
     common = F.size(F.array_intersect("xt", "yt"))
     return both.where(5 * common >= 4 * (F.size("xt") + F.size("yt") - common)).select(F.col("xid").alias("id")).distinct()
