@@ -91,6 +91,22 @@ def forced_alignment(rows: DataFrame, key: str, blank: int = 0, ratio: int = 1)
     return rows.select(key, "frames", "ids").mapInPandas(run, f"{key} {kind}, place int, label int, first int, end int, confidence double")
 
 
+def gelu(values: Column) -> Column:
+    """Gaussian error linear unit, x * P(X <= x), of a column of numbers."""
+    from math import erf, sqrt
+
+    @F.pandas_udf(T.DoubleType())
+    def unit(column: pd.Series) -> pd.Series:
+        return column.astype(float).map(lambda x: x * 0.5 * (1 + erf(x / sqrt(2))))
+
+    return unit(values)
+
+
+def patches(length: Column, kernel: int = 2, stride: int = 2) -> Column:
+    """Steps left after one strided convolution without padding."""
+    return (F.floor((length - kernel) / stride) + 1).cast("long")
+
+
 def infer(recordings: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], values: Column, width: int, batch: int = 64) -> DataFrame:
     """recordings with `frames`, the output of a model on flat values of `width` numbers.
 

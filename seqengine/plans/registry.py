@@ -355,6 +355,11 @@ def downsample_len(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id").agg(S.downsampled(F.count("*")).alias("frames"))
 
 
+@query("SELECT user_id, (count(*) - 2) // 2 + 1 AS patches FROM events GROUP BY user_id")
+def patch_len(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").groupBy("user_id").agg(score.patches(F.count("*")).alias("patches"))
+
+
 @query("""SELECT event_id, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS total, round(value - first_value(value) OVER w, 6) AS shift
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def cumsum_baseline(spark: SparkSession, folder: str) -> DataFrame:
