@@ -201,13 +201,16 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most `per_language` documents of each language.
 
     Only rows with text, lang and crc32(doc_id as text) mod 3 other than 1 are
-    learned from; the ones with the smallest hashes are taken.  The rank keeps
-    a bounded number of narrow rows a language in each task before the shuffle.
+    learned from; the ones with the smallest hashes are taken.  Ranks within
+    64 parts of a language, then over what is left of them, keep a bounded
+    number of narrow rows in each task.
     """
     usable = documents.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     mark = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    ranked = usable.select("doc_id", F.col("lang").alias("fit_lang"), mark.alias("mark")).withColumn("rank", F.row_number().over(W.partitionBy("fit_lang").orderBy("mark", "doc_id")))
-    chosen = ranked.where(F.col("rank") <= per_language).select("doc_id", "fit_lang")
+    ranked = usable.select("doc_id", F.col("lang").alias("fit_lang"), mark.alias("mark"), F.pmod(mark, F.lit(64)).alias("salt"))
+    for group in (["fit_lang", "salt"], ["fit_lang"]):  # the smallest of a language are among those of its 64 parts
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy("mark", "doc_id"))).where(F.col("rank") <= per_language)
+    chosen = ranked.select("doc_id", "fit_lang").distinct()
     rows = usable.select("doc_id", "text", F.col("lang").alias("fit_lang")).join(F.broadcast(chosen), ["doc_id", "fit_lang"]).select("fit_lang", "text", F.xxhash64("doc_id", "text").alias("o")).collect()
     return Model.fit([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[2]))])
 
