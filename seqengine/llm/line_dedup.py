@@ -21,6 +21,7 @@ equal sets are the extreme case.  Lines without tokens are never removed.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log2
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ from seqengine.llm.shared import discard, written
 
 BUCKETS = 1 << 16
 LEVELS_AN_OCTAVE = 8
+PASSES, PASS_PAIRS = 8, 400_000  # pairs are verified in up to so many passes of about this size or more
 LEAST_TOKENS = 4  # below this no set reaches 0.8 without being equal
 
 #: Blank-separated tokens of a line as a sorted array of distinct hashes.
@@ -105,9 +107,16 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
     lines = texts.select("w.id", "w.k1", F.get("lines", F.col("w.line")).alias("content")).where("content is not null")
     # A generator's output keeps the filter above it.
     sets = lines.select("id", "k1", F.explode(F.array(F.expr(_TOKENS.format(line="content")))).alias("tokens")).where(F.expr(_KEY.format(tokens="tokens") + " = k1")).dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("xid"), F.col("tokens").alias("xt")).hint("merge"), "xid").join(sets.select(F.col("id").alias("yid"), F.col("tokens").alias("yt")).hint("merge"), "yid")
+    sets = written(sets.select("id", "tokens"), "sets")
     common = F.size(F.array_intersect("xt", "yt"))
-    return both.where(5 * common >= 4 * (F.size("xt") + F.size("yt") - common)).select(F.col("xid").alias("id")).distinct()
+    passes = min(PASSES, 1 + pairs.count() // PASS_PAIRS)
+    found = []
+    for k in range(passes):  # a pass's shuffle is freed before the next one's
+        part = pairs.where(F.pmod(F.xxhash64("xid"), F.lit(passes)) == k)
+        both = part.join(sets.select(F.col("id").alias("xid"), F.col("tokens").alias("xt")).hint("merge"), "xid").join(sets.select(F.col("id").alias("yid"), F.col("tokens").alias("yt")).hint("merge"), "yid")
+        found.append(written(both.where(5 * common >= 4 * (F.size("xt") + F.size("yt") - common)).select(F.col("xid").alias("id")).distinct(), "later"))
+    discard(sets)
+    return reduce(DataFrame.unionAll, found)
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
@@ -121,20 +130,20 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     met = dealt.withColumn("y", hub).select("*", *[F.col(f"y.x{c}").alias(f"y{c}") for c in ("id", "parity", "n", "place")])
     star = met.where(_FILTERS).select("xid", "yid").distinct()
     star = written(star, "star")
-    gone = written(_verified(documents, classes, star), "gone")
+    gone = _verified(documents, classes, star)
 
     marked = classes.join(gone.select("id", F.lit(0).alias("o")).hint("merge"), "id", "left").withColumn("open", F.coalesce("o", F.lit(1)))
     postings = _postings(marked)
     rest = _side(postings, "x").join(_side(postings, "y").hint("merge"), F.expr(f"xtoken = ytoken and xopen = 1 and {_FILTERS}")).select("xid", "yid").distinct()
     rest = written(rest.join(star, ["xid", "yid"], "left_anti"), "rest")
-    late = written(_verified(documents, classes, rest), "late")
+    late = _verified(documents, classes, rest)
 
     removed = gone.unionAll(late).withColumn("out", F.lit(True))
     info = classes.select("id", "k1", "k2", F.col("doc").alias("fd"), F.col("line").alias("fl")).join(removed, "id", "left").drop("id")
     # An occurrence is kept if it is its class's first and the class stays.
     out = lines.select("doc", "line", "k1", "k2").join(info.hint("merge"), ["k1", "k2"]).where("out or doc <> fd or line <> fl").select("doc", "line", "k1").distinct()
     out = written(out, "removed")
-    for table in (star, gone, rest, late, classes, lines):
+    for table in (star, rest, classes, lines):
         discard(table)
     return out
 
