@@ -36,6 +36,11 @@ def _power_table(base: int, size: int) -> np.ndarray:
     return have[:size]
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `size` powers of the base and of its inverse."""
+    return _power_table(_BASE, size), _power_table(_BASE_INVERSE, size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(31))

@@ -68,6 +68,16 @@ def test_substring_dedup(hostile, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("between", [24, 80])
+def test_substring_dedup_past_holders_of_its_parts(spark, between):
+    """Documents in between hold 45 of a passage's 60 words, first or last, and never the passage."""
+    passage = [f"p{k}" for k in range(60)]
+    held = lambda d, part: (d, " ".join([*(f"x{d}_{k}" for k in range(30)), *part, *(f"y{d}_{k}" for k in range(30))]))
+    rows = [held(1, passage), *(held(d, passage[:45] if d % 2 else passage[15:]) for d in range(2, 2 + between)), held(999, passage)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["other"], r["first_word"], r["words"]) for r in found} == {(1, 999, 30, 60), (999, 1, 30, 60)}
+
+
 def test_token_segments(hostile, empty):
     path = P.path("byte_bpe_50k.json")
     got = token_codes.read_documents(token_codes.token_segments(hostile, path, P.PATTERN)).collect()
