@@ -93,6 +93,32 @@ def test_interval_join_counts_different_functions():
     assert got == want
 
 
+def shingled(text):
+    return wordhash.shingles(wordhash.words(pa.array([text], pa.string()))[0], 5)
+
+
+def test_equal_runs_are_those_of_brute_force():
+    rng = random.Random(1)
+    texts = ["a " * 60, "a b " * 40, *(" ".join(rng.choices("ab", k=40)) for _ in range(6)), " ".join(f"w{k}" for k in range(12)) + " x " + " ".join(f"w{k}" for k in range(12))]
+    for x, y in product(texts, repeat=2):
+        a, b = shingled(x).tolist(), shingled(y).tolist()
+        want = set()
+        for i, j in product(range(len(b)), range(len(a))):
+            if b[i] == a[j] and (i == 0 or j == 0 or b[i - 1] != a[j - 1]):
+                n = next((k for k in range(min(len(b) - i, len(a) - j)) if b[i + k] != a[j + k]), min(len(b) - i, len(a) - j))
+                want |= {(i, j, n)} if n >= 7 else set()
+        assert set(map(tuple, substring_dedup.equal_runs(shingled(x), shingled(y), 7).tolist())) == want
+
+
+def test_a_phrase_that_stands_earlier_breaks_no_passage():
+    passage = [f"p{k}" for k in range(60)]
+    fill = lambda c, n: [f"{c}{k}" for k in range(n)]
+    one = shingled(" ".join([*fill("a", 30), *passage[26:34], *fill("b", 40), *passage, *fill("c", 30)]))
+    two = shingled(" ".join([*fill("d", 20), *passage, *fill("e", 20)]))
+    assert substring_dedup.passages(one, two, [(0, len(two) - 1)], 46) == [(20, 56, 78, 56)]
+    assert substring_dedup.passages(two, one, [(0, len(one) - 1)], 46) == [(78, 56, 20, 56)]
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(3000))])
 def test_dac_reads_all_and_one(ids):
     reader = token_codes.DacReader(token_codes.dac_encode(np.array(ids, np.uint32)))
