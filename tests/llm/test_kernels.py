@@ -119,6 +119,20 @@ def test_a_phrase_that_stands_earlier_breaks_no_passage():
     assert substring_dedup.passages(two, one, [(0, len(one) - 1)], 46) == [(78, 56, 20, 56)]
 
 
+@pytest.mark.parametrize("length,inserted", [(90, 6), (90, 10), (60, 3), (100, 12), (100, 40), (300, 50)])
+def test_inserted_clauses_within_the_similarity(length, inserted):
+    """A clause in the middle of a passage, held against the similarity of the whole passages by force."""
+    passage = [f"p{k}" for k in range(length)]
+    fill = lambda c, n: [f"{c}{k}" for k in range(n)]
+    longer = [*passage[: length // 2], *fill("new", inserted), *passage[length // 2 :]]
+    x, y = set(zip(*(passage[k:] for k in range(5)))), set(zip(*(longer[k:] for k in range(5))))
+    alike = len(x & y) >= 0.8 * len(x | y)
+    one, two = shingled(" ".join([*fill("a", 40), *passage, *fill("b", 40)])), shingled(" ".join([*fill("c", 30), *longer, *fill("d", 30)]))
+    whole = (30, length + inserted - 4, 40, length - 4)
+    assert (whole in substring_dedup.passages(one, two, [(0, len(two) - 1)], 46)) == alike
+    assert ((40, length - 4, 30, length + inserted - 4) in substring_dedup.passages(two, one, [(0, len(one) - 1)], 46)) == alike
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(3000))])
 def test_dac_reads_all_and_one(ids):
     reader = token_codes.DacReader(token_codes.dac_encode(np.array(ids, np.uint32)))
