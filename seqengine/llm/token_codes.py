@@ -144,6 +144,8 @@ class ChunkEncoder:
     between two other characters, so a text cut there encodes as its chunks
     do.  A chunk is cut by the same pattern and the library's model encodes the
     words.  Bounded caches keep ids of chunks and words; they change speed alone.
+    A text with a token that the file adds to the vocabulary, such as
+    `<|endoftext|>`, is encoded by the library as a whole.
     """
 
     _cut = re.compile(r"(?<=\S)(?= \S)")
@@ -153,7 +155,9 @@ class ChunkEncoder:
     def __init__(self, path: str, pattern: str, end: int):
         import regex
 
-        self.model, self.end = _tokenizer(path).model, struct.pack("<I", end)
+        self.whole = _tokenizer(path)
+        self.model, self.end = self.whole.model, struct.pack("<I", end)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.letters = _byte_letters()
         self.find = regex.compile(pattern).findall
         self.first = Aging(CACHE_CHUNKS // 8, lambda c: self._chunk("", c))
@@ -165,6 +169,10 @@ class ChunkEncoder:
         first, later, end = self.first, self.later, self.end
         out = []
         for text in texts:
+            if any(t in text for t in self.added):
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
+                continue
             if self._uneven(text):
                 head, *rest = self._cut.split(text)
                 rest = [c[1:] for c in rest]

@@ -152,6 +152,16 @@ def test_chunks_encode_as_the_library():
         assert np.frombuffer(code, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_added_tokens_encode_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "no marker"]
+    for text, code in zip(texts, token_codes.ChunkEncoder(path, P.PATTERN, 2).encode(texts)):
+        assert np.frombuffer(code, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_small_caches_change_nothing():
     words = [f"w{k % 7}" for k in range(60)]
     cache = token_codes.Aging(3, lambda w: w.encode())
