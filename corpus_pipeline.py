@@ -8,7 +8,7 @@ again as the next one's docs.  All but the last return the columns of documents.
 2. line_dedup: lines that repeat an earlier line go, and documents that lose
    every line; n_chars is that of the text left.
 3. near_dedup: of each near-duplicate group the smallest doc_id stays (shingles
-   of five words, similarity 0.8).
+   of five words, similarity 0.8).  Documents without a doc_id stay.
 4. decontaminate: documents that hold a benchmark item go.
 5. sentencepiece: the ids of each text, with their number and whether decoding
    gives the text back.
@@ -36,7 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_dedup.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    named = docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionAll(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -231,6 +231,17 @@ def test_op10_finds_every_whole_item(spark, texts):
     assert want <= got and len(got) <= len(want) + 2
 
 
+@small
+def test_pipeline_stages_keep_documents_without_id(hostile, spark):
+    import corpus_pipeline
+
+    docs = hostile.withColumn("n_chars", F.length("text")).unionAll(hostile.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")).withColumn("n_chars", F.length("text")))
+    lost = {"language_id": 1, "line_dedup": 1}  # of three without id, one has no text
+    for name, stage in corpus_pipeline.STAGES:
+        got = [r["text"] for r in stage(spark, docs, SMALL).where("doc_id is null").select("text").collect()]
+        assert len(got) == 3 - lost.get(name, 0) and {LINE, PASSAGE} <= set(got)
+
+
 @small
 def test_pipeline_stages_by_force(spark, texts, tmp_path):
     """Each stage on its predecessor's rows: who goes, and what the texts become."""
