@@ -5,9 +5,10 @@
    deeper ones what that message quoted.
 2. Own and quoted text are cut into sentences, normalised (lower case, runs of
    other characters than letters and digits become one space) and hashed.
-3. The hashes of level-1 sentences are joined to the own sentences of earlier
-   messages of the same conversation; the message with most of them, the latest
-   on a tie, is answered.  Without such a match the previous message is.
+3. The hashes of quoted sentences are joined to the own sentences of earlier
+   messages of the same conversation; the message with most of a level's, the
+   latest on a tie, is that level's source.  The source of the shallowest level
+   that has one is answered; without any the previous message is.
 4. Conversations are the messages without quotes in order of turn, in which
    every message follows the one it answers, in parts of `PART` messages.
 
@@ -30,18 +31,19 @@ def quote_lines(text: str = "text"):
     return F.expr(f"transform(split({text}, '\n'), line -> struct({_LEVEL} as level, if({_LEVEL} > 0, regexp_replace(line, '^((?:> ?)*)', ''), line) as content))")
 
 
-def _sentences(level: int) -> str:
-    """SQL: the normalised, distinct, non-empty sentences of the lines at a level."""
+def _sentences(level: int | str) -> str:
+    """SQL: the normalised, distinct, non-empty sentences of the lines at a level, a number or a column."""
     joined = f"concat_ws(' ', transform(filter(lines, l -> l.level = {level}), l -> l.content))"
     plain = f"transform(regexp_extract_all({joined}, '[^.!?]+', 0), s -> trim(regexp_replace(lower(s), '[^\\\\p{{L}}\\\\p{{N}}]+', ' ')))"
     return f"array_distinct(filter({plain}, s -> s <> ''))"
 
 
 def linked_messages(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) as conv_id, turn, role, own, quoted, answers, position.
+    """conversations(conv_id, turn, role, text) as conv_id, turn, role, own, quoted, answers, jumps, position, sources.
 
     `own` is the text without quotes, `quoted` says whether there was a quote
-    and `answers` is the turn of the message answered (null for the first).
+    and `answers` is the turn of the message answered (null for the first);
+    `sources` has the level and turn of every quote level with a match, or null.
     Equal rows are one message; messages of one turn are ordered by role and
     text; null text is empty, and null conv_id, turn or role are values of their
     own that sort first.  Other columns are ignored.
@@ -61,13 +63,17 @@ def linked_messages(conversations: DataFrame) -> DataFrame:
     placed = placed.join(chunks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
     placed = placed.withColumn("position", F.col("base") + F.col("i") - 1).withColumn("previous", F.when(F.col("i") > 1, F.col("lag")).otherwise(F.col("before")))
 
-    asks = rows.where("quoted").select("conv_id", "at", F.explode(F.expr(_sentences(1))).alias("s")).select("conv_id", "at", F.xxhash64("s").alias("h"), F.md5("s").alias("m"))
+    levels = F.expr("array_distinct(transform(filter(lines, l -> l.level > 0), l -> l.level))")
+    asks = rows.where("quoted").select("conv_id", "at", "lines", F.explode(levels).alias("depth"))
+    asks = asks.select("conv_id", "at", "depth", F.explode(F.expr(_sentences("depth"))).alias("s")).select("conv_id", "at", "depth", F.xxhash64("s").alias("h"), F.md5("s").alias("m"))
     says = rows.select(F.col("conv_id").alias("c"), F.col("turn").alias("source"), F.explode(F.expr(_sentences(0))).alias("s")).select("c", "source", F.xxhash64("s").alias("h2"), F.md5("s").alias("m2"))
     match = asks.join(says.distinct(), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("h2")) & (F.col("m") == F.col("m2")) & (F.col("source") < F.col("at.turn")))
-    scores = match.groupBy("conv_id", "at", "source").agg(F.count_distinct("m").alias("hits"))
-    best = scores.groupBy("conv_id", "at").agg(F.max(F.struct("hits", "source")).alias("b")).select(F.col("conv_id").alias("c"), F.col("at").alias("q"), F.col("b.source").alias("source"))
+    scores = match.groupBy("conv_id", "at", "depth", "source").agg(F.count_distinct("m").alias("hits"))
+    best = scores.groupBy("conv_id", "at", "depth").agg(F.max(F.struct("hits", "source")).alias("b"))
+    best = best.groupBy("conv_id", "at").agg(F.array_sort(F.collect_list(F.struct(F.col("depth").alias("level"), F.col("b.source").alias("source")))).alias("sources"))
+    best = best.select(F.col("conv_id").alias("c"), F.col("at").alias("q"), "sources", F.col("sources")[0]["source"].alias("source"))
     found = placed.drop("c", "k").join(best, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("q")), "left")
-    return found.select("conv_id", "turn", "role", "own", "quoted", F.coalesce("source", "previous").alias("answers"), (F.col("source").isNotNull() & ~F.col("source").eqNullSafe(F.col("previous"))).alias("jumps"), "position")
+    return found.select("conv_id", "turn", "role", "own", "quoted", F.coalesce("source", "previous").alias("answers"), (F.col("source").isNotNull() & ~F.col("source").eqNullSafe(F.col("previous"))).alias("jumps"), "position", "sources")
 
 
 def chat_parts(messages: DataFrame) -> DataFrame:

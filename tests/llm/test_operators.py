@@ -143,6 +143,16 @@ def test_quotes_link_messages(spark):
     assert quotation.chat_parts(quotation.linked_messages(df.where("false"))).count() == 0
 
 
+def test_deeper_quotes_link_messages(spark):
+    rows = [(1, 0, "a", "First thing."), (1, 1, "b", "Second thing."), (1, 2, "a", "Third one."), (1, 3, "b", ">> first thing\nbare"), (1, 4, "a", "> second thing\n>>> first thing\nboth"), (1, 5, "b", "> unknown\n>> Third one\nfallen")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    messages = quotation.linked_messages(df)
+    got = {r["turn"]: (r["answers"], r["jumps"], [tuple(x) for x in r["sources"] or []]) for r in messages.collect()}
+    assert got[3] == (0, True, [(2, 0)]) and got[4] == (1, True, [(1, 1), (3, 0)]) and got[5] == (2, True, [(2, 2)])
+    assert got[2] == (1, False, [])
+    assert "<|b|><|answers 0|>\nbare<|end|>" in quotation.chat_parts(messages).first()["chat"]
+
+
 def test_long_conversations_are_placed_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(quotation, "CHUNK", 4)
     df = spark.range(30).selectExpr("1L as conv_id", "id * 2 as turn", "'user' as role", "cast(id as string) as text")
