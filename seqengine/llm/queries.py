@@ -35,9 +35,9 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seqengine.llm.substring_dedup import repeated_passages, summary
+    from seqengine.llm.substring_dedup import repeating_documents
 
-    return summary(repeated_passages(_table(spark, sf_dir, "documents")))
+    return repeating_documents(_table(spark, sf_dir, "documents"))
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,9 +63,17 @@ def test_line_dedup(hostile, empty):
 
 
 def test_substring_dedup(hostile, empty):
-    got = {r["doc_id"]: r for r in substring_dedup.summary(substring_dedup.repeated_passages(hostile)).collect()}
-    assert set(got) == {6, 7, 8} and all(r["longest_words"] >= 70 for r in got.values())
-    assert substring_dedup.repeated_passages(empty).count() == 0
+    got = {r["doc_id"]: r for r in substring_dedup.repeating_documents(hostile).collect()}
+    assert set(got) == {6, 7, 8} and all(r["longest_words"] >= 70 and r["class_id"] == 6 and r["links"] == 2 for r in got.values())
+    assert substring_dedup.repeating_documents(empty).count() == 0 and substring_dedup.repeated_passages(empty).count() == 0
+
+
+def test_substring_classes_of_copies(spark):
+    """Equal texts are one passage as a whole; a passage links classes; documents apart stay apart."""
+    fill = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [*((d, fill("a", 60)) for d in range(10, 20)), (3, f"{fill('a', 60)} {fill('b', 55)}"), (4, f"x {fill('b', 55)}"), (5, fill("c", 80)), (6, fill("c", 49)), (7, fill("d", 49)), (8, fill("d", 49)), (9, fill("e", 50)), (9, fill("e", 50))]
+    got = {r["doc_id"]: tuple(r[1:]) for r in substring_dedup.repeating_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{d: (3, 1, 60, 1) for d in range(10, 20)}, 3: (3, 2, 60, 2), 4: (3, 1, 55, 1)}
 
 
 @pytest.mark.parametrize("between", [24, 80])
