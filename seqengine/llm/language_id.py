@@ -28,7 +28,9 @@ PER_LANGUAGE = 400
 FEATURES = 1 << 16
 SWITCH = 6.0
 CLIP = 12.0
-CACHE_WORDS = 400_000
+CACHE_BYTES = 24 << 20  # of the tokens that a task keeps, with `ENTRY` for each
+ENTRY = 200
+FIT_CHARS = 20_000  # of a text that the fit reads
 
 #: First code point, last code point and name of script ranges.
 SCRIPTS = (
@@ -48,6 +50,17 @@ SCRIPTS = (
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters; numeric characters such as fractions and Roman numerals are none."""
+    out = []
+    for run in _LETTERS.findall(text):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
+
+
 def script_of(word: str) -> str:
     """The script of most of a word's letters, the earliest range on a tie."""
     found = Counter(next((name for first, last, name in SCRIPTS if first <= ord(c) <= last), "other") for c in word)
@@ -83,7 +96,7 @@ class Model:
         count = np.full((FEATURES, max(1, len(languages))), 0.5)
         scripts: dict[str, list[bool]] = {}
         for k, lang in enumerate(languages):
-            seen = Counter(w for x, text in rows if x == lang for w in _LETTERS.findall(text.lower()))
+            seen = Counter(w for x, text in rows if x == lang for w in letter_runs(text.lower()))
             if not seen:
                 continue
             words = list(seen)
@@ -111,23 +124,25 @@ class Labeller:
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, int] = {}
+        self.held = 0
         self.scores = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
 
     def _learn(self, tokens: set[str]) -> None:
         """Score the letter runs of new blank-separated tokens; a token's words count together."""
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
+        if self.held > CACHE_BYTES:
+            self.known, self.held, self.scores, self.letters = {}, 0, self.scores[:0].copy(), self.letters[:0].copy()
         new = [t for t in tokens if t not in self.known]
         if not new:
             return
-        runs = [_LETTERS.findall(t.lower()) for t in new]
+        runs = [letter_runs(t.lower()) for t in new]
         flat = [w for r in runs for w in r]
         size = np.array([len(r) for r in runs])
         score = np.zeros((len(new), len(self.model.languages)), np.float32)
         if flat:
             np.add.at(score, np.repeat(np.arange(len(new)), size), self.model.score(flat))
         at = len(self.scores)
+        self.held += sum(map(len, new)) + len(new) * (ENTRY + 4 * score.shape[1])
         self.known.update((t, at + k) for k, t in enumerate(new))
         self.scores = np.concatenate([self.scores, score])
         self.letters = np.concatenate([self.letters, [sum(map(len, r)) for r in runs]])
@@ -135,8 +150,6 @@ class Labeller:
     def paths(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         """Of each text its tokens, their letters and the label index of each (-1 without letters)."""
         cut = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self._learn(set())
         self._learn(set().union(*cut) if cut else set())
         known = self.known
         index = [np.array([known[t] for t in tokens], np.int64) for tokens in cut]
@@ -165,17 +178,17 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     states = scores[order[0]].shape[1]
     start = np.r_[0, np.cumsum(length)]
     flat = np.concatenate([scores[k] for k in order])
-    came = np.zeros(flat.shape, np.int8)
+    came = np.zeros(flat.shape, np.int16)
     active = np.searchsorted(-length, -np.arange(length[0]), "left")  # sequences longer than t
     best = flat[start[: active[0]]].copy()
-    own = np.arange(states, dtype=np.int8)[None, :]
+    own = np.arange(states, dtype=np.int16)[None, :]
     for t in range(1, length[0]):
         best = best[: active[t]]
         top = best.argmax(axis=1)
         other = best[np.arange(len(best)), top] - np.float32(switch)
         jump = other[:, None] > best
         at = start[: active[t]] + t
-        came[at] = np.where(jump, top[:, None].astype(np.int8), own)
+        came[at] = np.where(jump, top[:, None].astype(np.int16), own)
         new = np.where(jump, other[:, None], best) + flat[at]
         # Finished sequences keep their last values in place for the way back.
         flat[at] = new
@@ -201,18 +214,20 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most `per_language` documents of each language.
 
     Only rows with text, lang and crc32(doc_id as text) mod 3 other than 1 are
-    learned from; the ones with the smallest hashes are taken.  Ranks within
-    64 parts of a language, then over what is left of them, keep a bounded
-    number of narrow rows in each task.
+    learned from; the ones with the smallest hashes are taken, up to `FIT_CHARS`
+    characters of each.  Ranks within 64 parts of a language, then within 8 and
+    over what is left of them, keep a bounded number of narrow rows in each task.
     """
     usable = documents.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    usable = usable.select("doc_id", F.col("lang").alias("fit_lang"), "text", F.xxhash64("text").alias("key"))
     mark = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    ranked = usable.select("doc_id", F.col("lang").alias("fit_lang"), mark.alias("mark"), F.pmod(mark, F.lit(64)).alias("salt"))
-    for group in (["fit_lang", "salt"], ["fit_lang"]):  # the smallest of a language are among those of its 64 parts
-        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy("mark", "doc_id"))).where(F.col("rank") <= per_language)
-    chosen = ranked.select("doc_id", "fit_lang").distinct()
-    rows = usable.select("doc_id", "text", F.col("lang").alias("fit_lang")).join(F.broadcast(chosen), ["doc_id", "fit_lang"]).select("fit_lang", "text", F.xxhash64("doc_id", "text").alias("o")).collect()
-    return Model.fit([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0], r[2]))])
+    ranked = usable.select("doc_id", "fit_lang", "key", mark.alias("mark"), F.pmod(mark, F.lit(64)).alias("salt"))
+    for parts in (64, 8, 1):  # the smallest of a language are among those of its parts
+        by = W.partitionBy("fit_lang", F.pmod("salt", F.lit(parts))).orderBy("mark", "doc_id", "key")
+        ranked = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_language)
+    chosen = ranked.select("doc_id", "fit_lang", "key").distinct()
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "fit_lang", "key"]).groupBy("doc_id", "fit_lang", "key").agg(F.first(F.substring("text", 1, FIT_CHARS)).alias("text")).collect()
+    return Model.fit([(r["fit_lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["fit_lang"], r["doc_id"], r["key"]))])
 
 
 def _judge(labeller: Labeller, texts: list[str | None], found: list | None = None) -> tuple[list[str], list[float]]:

@@ -24,6 +24,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SLOTS = _SEED.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
+PIECE = 1 << 20  # bytes of text that the kernels take at a time
 
 
 def _power_table(base: int, size: int) -> np.ndarray:
@@ -60,12 +61,41 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words between bytes marked in `gap`: hashes, first and past-the-end byte of each, and each row's first word index."""
+    """Words between bytes marked in `gap`: hashes, first and past-the-end byte of each, and each row's first word index.
+
+    Bytes are taken a piece of `PIECE` at a time, cut where no word is, so a
+    long text needs memory for its words alone.
+    """
     raw, rows = text_bytes(column)
+    none = np.zeros(0, np.int64)
+    parts, at = [(np.zeros(0, np.uint64), none, none)], 0
+    while at < len(raw):
+        to = _piece_end(raw, rows, gap, at)
+        value, begin, end = _piece_words(raw[at:to], rows[np.searchsorted(rows, at) : np.searchsorted(rows, to)] - at, gap)
+        parts.append((value, begin + at, end + at))
+        at = to
+    value, begin, end = parts[1] if len(parts) == 2 else (np.concatenate(x) for x in zip(*parts))
+    return value, begin, end, np.searchsorted(begin, rows)
+
+
+def _piece_end(raw: np.ndarray, rows: np.ndarray, gap: np.ndarray, at: int) -> int:
+    """The last place within PIECE bytes, or else the first one behind, that no word crosses."""
+    to = at + PIECE
+    if to >= len(raw):
+        return len(raw)
+    row = int(rows[np.searchsorted(rows, to, "right") - 1])
+    blank = np.flatnonzero(gap[raw[at:to]])
+    best = max(row, at + int(blank[-1]) + 1 if len(blank) else at)
+    while best <= at:  # a word longer than a piece
+        blank = np.flatnonzero(gap[raw[to : to + PIECE]])
+        ends = [len(raw), int(rows[np.searchsorted(rows, to)])] + ([to + int(blank[0]) + 1] if len(blank) else [])
+        to += PIECE
+        best = min(ends) if min(ends) <= to else at
+    return best
+
+
+def _piece_words(raw: np.ndarray, rows: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(rows), np.int64)
     solid = ~gap[raw]
     cut = np.zeros(n + 1, bool)
     cut[rows] = True
@@ -77,7 +107,7 @@ def words(column: pa.Array, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.nd
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _power_table(_BASE, n), out=sums[1:])
     value = (sums[end] - sums[begin]) * _power_table(_BASE_INVERSE, n)[begin]
-    return mix(value + (end - begin).astype(np.uint64)), begin, end, np.searchsorted(begin, rows)
+    return mix(value + (end - begin).astype(np.uint64)), begin, end
 
 
 def shingles(word: np.ndarray, size: int) -> np.ndarray:
@@ -91,7 +121,7 @@ def shingles(word: np.ndarray, size: int) -> np.ndarray:
     return mix(total + np.uint64(width))
 
 
-def batches(stream: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches(stream: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds at most about `limit` bytes of text, or one row."""
     for batch in stream:
         at = 0
