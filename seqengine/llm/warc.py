@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqengine.llm.shared import written
+from seqengine.llm.shared import discard, written
 
 FILE_RECORDS = 256
 FILE_BYTES = 4 << 20
@@ -119,13 +119,21 @@ def tree(files: DataFrame) -> list[DataFrame]:
 
 
 def audit(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
-    """Records in which two replicas differ: key, and page_id, range and digest in each (null where absent)."""
+    """Records in which two replicas differ: key, and page_id, range and digest in each (null where absent).
+
+    The differing nodes of a level are written before the next one is
+    descended; equal roots end the descent at once.
+    """
     bad: DataFrame | None = None
     for a, b in zip(reversed(one[1:]), reversed(two[1:])):
         if bad is not None:
             a, b = (x.join(bad, F.shiftright(x["key"], 8) == F.col("up"), "left_semi") for x in (a, b))
         left, right = a.select("key", F.col("hash").alias("x")), b.select("key", F.col("hash").alias("y"))
-        bad = left.join(right, "key", "full").where("not (x <=> y)").select(F.col("key").alias("up"))
+        above, bad = bad, written(left.join(right, "key", "full").where("not (x <=> y)").select(F.col("key").alias("up")), "differing")
+        if above is not None:
+            discard(above)
+        if bad.isEmpty():
+            break
     sides = []
     for mark, leaves in (("a", one[0]), ("b", two[0])):
         part = leaves.join(bad, F.shiftright("key", 8) == F.col("up"), "left_semi")
