@@ -3,18 +3,21 @@
 Test items are indexed by word: a posting has the item and its BM25 impact as a
 share of the item's own total, so a passage that holds the whole item scores 1
 for it.  Items stand in blocks of `BLOCK`, and each term keeps its largest
-impact in each block.  A passage is a run of 2M words, a new one every M, M
-being the longest item's words, so any copy of an item lies in one passage.
+impact in each block that has it.  A passage is a run of 2M words, a new one
+every M, M being the least power of 4 that the item's words don't exceed, so any
+copy of an item lies in one passage, and a long item changes nothing for others.
 
 Every passage is a query of its distinct words.  The sum of block maxima bounds
-all scores of a block and is an array sum over a batch; only blocks whose bound
+all scores of a block and is an array sum over some passages; only blocks whose bound
 reaches the threshold are opened, and in these a document-at-a-time WAND finds
 every item above it.  Verification: the five-word shingles of the item's
 question (all but its last sentence) and the words of its answer (the last
 sentence) must be in the passage by 0.8 or more each.
 
-The index is bounded: a benchmark of more than `INDEX_ITEMS` items is taken in
-parts of that size, and the documents are read once a part.
+The index is bounded: a benchmark of more than `INDEX_ITEMS` items or
+`INDEX_WORDS` words is taken in parts of that size, and the documents are read
+once a part.  Document frequencies and the mean length are those of the whole
+benchmark, so parts change no score.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from seqengine.llm.wordhash import PLAIN, batches, shingles, words
 
 K1, B = 1.2, 0.75
 BLOCK = 8
-INDEX_ITEMS = 20_000
+INDEX_ITEMS, INDEX_WORDS = 20_000, 4_000_000
+CELLS = 1 << 20  # bounds held at a time
 THRESHOLD = 0.6
 SHINGLE = 5
 OVERLAP = 0.8
@@ -50,13 +54,33 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
     return [word[rows[i] : rows[i + 1]] for i in range(len(texts))]
 
 
+class Statistics:
+    """Of all items that have words: their number, mean length and each term's document frequency."""
+
+    def __init__(self) -> None:
+        self.n, self.words = 0, 0
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        each = [w for w in _hashes(texts) if len(w)]
+        self.n += len(each)
+        self.words += sum(map(len, each))
+        terms = np.concatenate([self.terms, *(np.unique(w) for w in each)])
+        weight = np.concatenate([self.df, np.ones(len(terms) - len(self.df), np.int64)])
+        self.terms, number = np.unique(terms, return_inverse=True)
+        self.df = np.bincount(number, weight, len(self.terms)).astype(np.int64)
+
+
 class Index:
-    """The BM25 inverted index of (item_id, text) items that have words."""
+    """The BM25 inverted index of (item_id, text) items that have words, of at most `longest` words each."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None, longest: int | None = None):
+        if statistics is None:
+            statistics = Statistics()
+            statistics.add([t for _, t in items])
         pairs = [(i, t, w) for (i, t), w in zip(items, _hashes([t for _, t in items])) if len(w)]
         self.ids = [i for i, _, _ in pairs]
-        self.longest = max((len(w) for _, _, w in pairs), default=1)
+        self.longest = longest or max((len(w) for _, _, w in pairs), default=1)
         parts = [split_item(t) for _, t, _ in pairs]
         self.question = [np.unique(shingles(w, SHINGLE)) for w in _hashes([q for q, _ in parts])]
         self.answer = [np.unique(w) for w in _hashes([a for _, a in parts])]
@@ -66,21 +90,32 @@ class Index:
         term = np.concatenate([t for t, _ in each]) if n else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(n), [len(t) for t, _ in each]) if n else np.zeros(0, int)
         tf = np.concatenate([c for _, c in each]).astype(float) if n else np.zeros(0)
-        self.terms, number, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(size.mean(), 1) if n else 1)) if n else tf
+        self.terms, number, count = np.unique(term, return_inverse=True, return_counts=True)
+        df = statistics.df[np.searchsorted(statistics.terms, self.terms)] if n else count
+        idf = np.log1p((statistics.n - df + 0.5) / (df + 0.5))
+        impact = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / (statistics.words / statistics.n))) if n else tf
         own = np.bincount(item, impact, n)
         impact = impact / own[item] if n else impact
         order = np.lexsort((item, number))
         self.items, self.impacts = item[order], impact[order]
-        self.at = np.r_[0, np.cumsum(df)]
+        self.at = np.r_[0, np.cumsum(count)]
         self.blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.terms) + 1, self.blocks), np.float32)
-        np.maximum.at(self.block_max, (number, item // BLOCK), impact.astype(np.float32))
-        self.block_max *= np.float32(1.00001)  # a bound stays one in single precision
+        # The blocks of each term, one behind the other, with the largest impact in each.
+        number, block = number[order], self.items // BLOCK
+        start = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if n else np.zeros(0, int)
+        self.block, owner = block[start], number[start]
+        top = np.maximum.reduceat(self.impacts, start) if n else np.zeros(0)
+        self.top = (top * 1.00001).astype(np.float32)  # a bound stays one in single precision
+        self.block_at = np.searchsorted(owner, np.arange(len(self.terms) + 1))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.terms >> np.uint64(44)).astype(np.int64)] = True
 
+    def largest(self, term: int, block: int) -> float:
+        """The largest impact of a term in a block, 0 where it has none."""
+        a, b = self.block_at[term], self.block_at[term + 1]
+        k = a + int(np.searchsorted(self.block[a:b], block))
+        return float(self.top[k]) if k < b and self.block[k] == block else 0.0
+
     def lookup(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are index terms, and their terms."""
         at = np.flatnonzero(self.seen[(word >> np.uint64(44)).astype(np.int64)])
@@ -98,7 +133,7 @@ class Index:
         low, high = block * BLOCK, (block + 1) * BLOCK
         cursors = []
         for t in terms:
-            top = float(self.block_max[t, block])
+            top = self.largest(int(t), block)
             if top:
                 a, b = self.at[t], self.at[t + 1]
                 at = a + np.searchsorted(self.items[a:b], low)
@@ -144,22 +179,31 @@ class Index:
         before[order[1:][same]] = half[order[:-1][same]]
         base = np.r_[0, np.cumsum((np.diff(rows) + m - 1) // m)]
         cell = base[row] + half
-        n = int(base[-1])
-        bound = np.zeros((n, self.blocks), np.float32)
-        for late in (0, 1):  # as the first half of passage k, or the second half of passage k - 1
-            use = (before < half - late) & (half >= late)
-            where = cell[use] - late
-            if not len(where):
-                continue
-            start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-            bound[where[start]] += np.add.reduceat(self.block_max[term[use]], start, axis=0)
-        out = []
-        for c, block in zip(*np.nonzero(bound >= THRESHOLD)):
-            r = int(np.searchsorted(base, c, "right") - 1)
-            first = int(rows[r] + (c - base[r]) * m)
-            last = min(first + 2 * m, int(rows[r + 1]))
-            a, b = np.searchsorted(at, (first, last))
-            out.append((r, first, int(block), np.unique(term[a:b])))
+        uses = [(cell[use] - late, term[use]) for late in (0, 1) if (use := (before < half - late) & (half >= late)).any()]
+        where, used = np.concatenate([w for w, _ in uses]), np.concatenate([t for _, t in uses])  # as the first half of passage k, or the second half of passage k - 1
+        order = np.argsort(where, kind="stable")
+        where, used = where[order], used[order]
+        size = self.block_at[used + 1] - self.block_at[used]
+        done = np.r_[0, np.cumsum(size)]
+        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        ends, passages = np.r_[starts[1:], len(where)], where[starts]
+        out, p = [], 0
+        while p < len(starts):  # as many passages as bounds and block entries fit
+            fit = np.searchsorted(passages, passages[p] + max(1, CELLS // self.blocks)), np.searchsorted(done[ends], done[starts[p]] + CELLS, "right")
+            q = max(p + 1, int(min(fit)))
+            x, y = starts[p], ends[q - 1]
+            entry = np.arange(done[y] - done[x]) - np.repeat(done[x:y] - done[x], size[x:y]) + np.repeat(self.block_at[used[x:y]], size[x:y])
+            low = int(where[x])
+            flat = np.repeat(where[x:y] - low, size[x:y]) * self.blocks + self.block[entry]
+            bound = np.bincount(flat, self.top[entry])
+            for k in np.flatnonzero(bound >= THRESHOLD).tolist():
+                c, block = low + k // self.blocks, k % self.blocks
+                r = int(np.searchsorted(base, c, "right") - 1)
+                first = int(rows[r] + (c - base[r]) * m)
+                last = min(first + 2 * m, int(rows[r + 1]))
+                a, b = np.searchsorted(at, (first, last))
+                out.append((r, first, block, np.unique(term[a:b])))
+            p = q
         return out
 
     def matches(self, word: np.ndarray, rows: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -186,57 +230,76 @@ class Index:
         return any(np.isin(want, shingles(part, n)).all() for n in range(1, SHINGLE + 1))
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The index in parts of at most INDEX_ITEMS items; null ids and texts without words are no items."""
-    part: list[tuple[int, str]] = []
-    for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text").toLocalIterator():
-        part.append((row[0], row[1]))
-        if len(part) == INDEX_ITEMS:
-            yield Index(part)
-            part = []
-    if part:
-        yield Index(part)
+def _indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The index in parts of bounded size, an index for each length; null ids and texts without words are no items."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text")
+
+    def parts() -> Iterator[list[tuple[int, str]]]:
+        part, size = [], 0
+        for row in items.toLocalIterator():
+            part.append((row[0], row[1]))
+            size += 1 + row[1].count(" ")
+            if len(part) == INDEX_ITEMS or size >= INDEX_WORDS:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+    statistics = Statistics()
+    for part in parts():
+        statistics.add([t for _, t in part])
+    for part in parts():
+        by: dict[int, list[tuple[int, str]]] = {}
+        for pair, word in zip(part, _hashes([t for _, t in part])):
+            if len(word):
+                by.setdefault(1 << 2 * (((len(word) - 1).bit_length() + 1) // 2), []).append(pair)
+        yield [Index(group, statistics, longest) for longest, group in sorted(by.items())]
+
+
+def _matches(indexes: list[Index], word: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, tuple[float, float, float]]]:
+    """Verified (row, item_id, figures) over the indexes of a part, in order."""
+    return sorted((r, index.ids[i], figures) for index in indexes for (r, i), figures in index.matches(word, rows).items())
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document and test item it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    Null texts hold nothing; repeated rows give repeated results; an empty
-    table on either side gives an empty result.  Other columns are ignored.
+    Null texts hold nothing; repeated rows give repeated results, as do two
+    items with one id whose texts differ; items with equal scores are all
+    reported; an empty table on either side gives an empty result.  Other
+    columns are ignored.
     """
     columns = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
     schema = f"row {kind}, item_id long, score double, question_overlap double, answer_overlap double"
     spark = documents.sparkSession
 
-    def pairs(index: Index) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+    def pairs(indexes: list[Index]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(indexes)
 
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches(stream):
                 word, _, _, rows = words(batch.column(1), PLAIN)
-                found = sent.value.matches(word, rows)
+                found = _matches(sent.value, word, rows)
                 if found:
-                    keys = sorted(found)
-                    values = [found[k] for k in keys]
-                    arrays = [batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([sent.value.ids[i] for _, i in keys], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays + [pa.array([v[k] for v in values], pa.float64()) for k in range(3)], ["row", "item_id", "score", "question_overlap", "answer_overlap"])
+                    arrays = [batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([i for _, i, _ in found], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays + [pa.array([v[k] for _, _, v in found], pa.float64()) for k in range(3)], ["row", "item_id", "score", "question_overlap", "answer_overlap"])
 
         return columns.mapInArrow(run, schema)
 
-    parts = [pairs(index) for index in _indexes(benchmark)] or [spark.createDataFrame([], schema)]
+    parts = [pairs(indexes) for indexes in _indexes(benchmark)] or [spark.createDataFrame([], schema)]
     return reduce(DataFrame.unionAll, parts).withColumnRenamed("row", "doc_id")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents whose text holds no test item."""
-    for index in _indexes(benchmark):
-        sent = documents.sparkSession.sparkContext.broadcast(index)
+    for indexes in _indexes(benchmark):
+        sent = documents.sparkSession.sparkContext.broadcast(indexes)
 
         def run(stream: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches(stream):
                 word, _, _, rows = words(batch.column(batch.schema.get_field_index("text")), PLAIN)
-                bad = {r for r, _ in sent.value.matches(word, rows)}
+                bad = {r for r, _, _ in _matches(sent.value, word, rows)}
                 yield batch.filter(pa.array([r not in bad for r in range(batch.num_rows)], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)

@@ -8,10 +8,12 @@
    other class shares can reach no partner and is skipped; of the others only
    the rarest `shared - matches + 1` values are merged, as two classes with
    that many common values have one of these in common.
-4. Classes that meet under a prefix value form a coarse group; within it the
-   full shingle sets decide 100 * intersection >= threshold * union.  A group
-   is compared block against block, so no task holds more than two blocks, and
-   a block pair returns a spanning forest of its links, never all pairs.
+4. Classes that meet under a prefix value form a coarse group, which is merged
+   block against block, so no task holds more than two blocks.  Within a block
+   pair the collisions of each pair are counted along the postings; pairs with
+   `matches` or more stay, and of these the full shingle sets decide
+   100 * intersection >= threshold * union.  A block pair returns a spanning
+   forest of its links, never all pairs.
 5. Connected components of the links give component_id.
 
 `matches` is the largest count that a pair at the threshold misses with a
@@ -109,46 +111,53 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"rep": owner[keep], "token": token[keep].astype(np.int64), "many": many[keep].astype(np.int64)})
 
 
-def jaccard_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as (root, member) ids, of the links among sets of distinct items.
-
-    A link has 100 * intersection >= percent * union.  `split`: only the part
-    before it is compared with the part after it.
-    """
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    item = np.concatenate(sets)
-    who = np.repeat(np.arange(n), size)
-    order = np.argsort(item, kind="stable")
-    item, who = item[order], who[order]
-    common = np.zeros(n * n, np.int32)
-    at = np.arange(len(item))
-    step = 1
+def collisions(signatures: np.ndarray) -> np.ndarray:
+    """Equal coordinates of each pair of signatures, counted along the postings of every coordinate and value."""
+    n = len(signatures)
+    token = ((np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[None, :] | signatures).ravel()
+    who = np.repeat(np.arange(n), COORDINATES)
+    order = np.argsort(token, kind="stable")
+    token, who = token[order], who[order]
+    count = np.zeros(n * n, np.int32)
+    at, step = np.arange(len(token)), 1
     while len(at):
-        at = at[at + step < len(item)]
-        at = at[item[at] == item[at + step]]  # items are sorted: a run that ended stays ended
-        common += np.bincount(who[at] * n + who[at + step], minlength=n * n).astype(np.int32) if len(at) * 8 > n * n else 0
-        if len(at) * 8 <= n * n:
-            np.add.at(common, who[at] * n + who[at + step], 1)
+        at = at[at + step < len(token)]
+        at = at[token[at] == token[at + step]]  # tokens are sorted: a run that ended stays ended
+        np.add.at(count, who[at] * n + who[at + step], 1)
         step += 1
-    common = common.reshape(n, n)
-    common = common + common.T
-    linked = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common)
-    linked[np.arange(n), np.arange(n)] = False
+    count = count.reshape(n, n)
+    return count + count.T
+
+
+def jaccard_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, signatures: np.ndarray, split: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of distinct, sorted items, as pairs of ids.
+
+    A link has 100 * intersection >= percent * union.  Only pairs with enough
+    equal coordinates are compared, and no pair that links join already.
+    `split`: only the part before it is compared with the part after it.
+    """
+    enough = collisions(signatures) >= matches_for(percent)
     if split is not None:
-        linked[:split, :split] = False
-        linked[split:, split:] = False
-    left, out = set(range(n)), []
-    while left:
-        root = min(left, key=lambda k: ids[k])
-        left.discard(root)
-        front = [root]
-        while front:
-            for k in np.flatnonzero(linked[front.pop()]):
-                if k in left:
-                    left.discard(k)
-                    front.append(k)
-                    out.append((int(ids[root]), int(ids[k])))
+        enough[:split, :split] = False
+        enough[split:, split:] = False
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(enough, 1)))):
+        if find(i) == find(j):
+            continue
+        small, large = sorted((sets[i], sets[j]), key=len)
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        common = int(np.count_nonzero(large[at] == small))
+        if 100 * common >= percent * (len(small) + len(large) - common):
+            root[find(j)] = find(i)
+            out.append((int(ids[i]), int(ids[j])))
     return out
 
 
@@ -163,7 +172,12 @@ def _verify(size: int, percent: int):
             word, _, _, rows = words(batch.column(0))
             sets += [np.unique(shingles(word[rows[i] : rows[i + 1]], size)) for i in range(batch.num_rows)]
         side = table.column("side").to_numpy()
-        found = jaccard_forest(ids, sets, percent, None if side[0] == side[-1] else int(np.searchsorted(side, 1)))
+        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        some = np.flatnonzero([len(s) > 0 for s in sets])  # a text without words shares its doc_id with another
+        if not len(some):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        split = None if side[0] == side[-1] else int(np.searchsorted(side[some], 1))
+        found = jaccard_forest(ids[some], [sets[k] for k in some], percent, signatures[some], split)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
@@ -194,7 +208,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85) -> D
     prefix = written(prefix.select("rep", F.col("v.token").alias("token")), "prefix")
     first = prefix.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     coarse = written(components(prefix.join(first, "token").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "coarse")
-    links = _links(documents, coarse, size, percent)
+    links = _links(documents, coarse, classes, size, percent)
     found = written(components(links), "components")
     discard(coarse)
     discard(prefix)
@@ -210,13 +224,13 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85) -> D
     )
 
 
-def _links(documents: DataFrame, coarse: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(documents: DataFrame, coarse: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) within the coarse groups, block against block."""
     groups = coarse.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    member = coarse.join(groups, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    member = coarse.join(groups, "component").join(classes.select(F.col("rep").alias("id"), "signature"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # A block meets itself and, as one side of a pair, every other block of its group.
     pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    member = member.select(F.col("id").alias("rep"), "component", "block", pair.alias("other")).select(
-        "rep", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
+    member = member.select(F.col("id").alias("rep"), "signature", "component", "block", pair.alias("other")).select(
+        "rep", "signature", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
     return documents.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(member, "rep").groupBy("component", "x", "y").applyInArrow(_verify(size, percent), "a long, b long")

@@ -36,6 +36,14 @@ def test_words_of_slices_and_empty_columns():
     assert len(wordhash.words(pa.array([], pa.string()))[0]) == 0
 
 
+def test_pieces_of_a_text_change_no_word(monkeypatch):
+    column = pa.array(["one two  three", None, "", "a" * 50, "x " * 30, "end", "ab" * 9 + " " + "c" * 40])
+    want = wordhash.words(column)
+    for size in (1, 3, 8, 17):
+        monkeypatch.setattr(wordhash, "PIECE", size)
+        assert all((a == b).all() for a, b in zip(wordhash.words(column), want))
+
+
 def test_short_sequences_are_one_shingle():
     word = wordhash.words(pa.array(["a b c d"], pa.string()))[0]
     assert len(wordhash.shingles(word, 3)) == 2 and len(wordhash.shingles(word[:2], 3)) == 1 and len(wordhash.shingles(word[:0], 3)) == 0
@@ -53,7 +61,7 @@ def test_forest_spans_the_links_of_brute_force():
     sets = [np.array(sorted(rng.sample(range(30), rng.randint(1, 25))), np.uint64) for _ in range(40)]
     sets += [sets[0], np.append(sets[1], np.uint64(99))]
     for split in (None, 20):
-        found = near_dedup.jaccard_forest(np.arange(len(sets)), sets, 60, split)
+        found = near_dedup.jaccard_forest(np.arange(len(sets)), sets, 60, np.stack([near_dedup.signature(x) for x in sets]), split)
         links = {(i, j) for i, j in product(range(len(sets)), repeat=2) if i < j and (split is None or (i < split) != (j < split)) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
 
         def classes(edges):
@@ -66,6 +74,14 @@ def test_forest_spans_the_links_of_brute_force():
         assert classes(found) == classes(links) and len(found) < len(sets)
 
 
+def test_collisions_are_counted_per_pair():
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 3, (20, near_dedup.COORDINATES)).astype(np.uint32)
+    want = (signatures[:, None, :] == signatures[None, :, :]).sum(axis=2)
+    np.fill_diagonal(want, 0)
+    assert (near_dedup.collisions(signatures) == want).all()
+
+
 def test_match_count_rarely_misses():
     assert near_dedup.matches_for(85) > near_dedup.matches_for(80) > 20
 
@@ -226,6 +242,25 @@ def test_language_viterbi_is_best():
             assert got == pytest.approx(viterbi_by_force(scores, 4.0))
 
 
+def test_numeric_characters_are_no_letters():
+    assert language_id.letter_runs("½ ²³ Ⅷ ① x² straße 12 a_b") == ["x", "straße", "a", "b"]
+
+
+def test_many_languages_keep_their_numbers():
+    scores = np.full((3, 200), -5.0, np.float32)
+    scores[:, 130] = 0
+    assert [x.tolist() for x in language_id.viterbi([scores], 6.0)] == [[130, 130, 130]]
+
+
+def test_small_language_caches_change_nothing(monkeypatch):
+    model = language_id.Model.fit([("en", "the river and the house"), ("de", "der Fluss und das Haus")])
+    texts = ["the river", "das Haus und the river", "Fluss Fluss", ""]
+    want = language_id._judge(language_id.Labeller(model), texts)
+    monkeypatch.setattr(language_id, "CACHE_BYTES", 1)
+    labeller = language_id.Labeller(model)
+    assert [language_id._judge(labeller, [t]) for t in texts] == [([a], [b]) for a, b in zip(*want)]
+
+
 def test_languages_spans_and_scripts():
     rows = [("en", "the dog and the cat with that house"), ("de", "der hund und die katze mit dem haus"), ("ru", "собака и кошка")] * 3
     labeller = language_id.Labeller(language_id.Model.fit(rows))
@@ -324,6 +359,20 @@ def test_block_bounds_lose_no_copy():
             assert not {i for row, i in found if row == r}
 
 
+def test_parts_and_small_bounds_change_nothing(monkeypatch):
+    rows, vocabulary = items()
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(vocabulary, k=60)) + " " + rows[k % 40][1] for k in range(30)]
+    word, _, _, at = wordhash.words(pa.array(texts), wordhash.PLAIN)
+    all_items = decontaminate.Statistics()
+    for k in range(0, 40, 7):
+        all_items.add([t for _, t in rows[k : k + 7]])
+    whole = {(r, i): x for r, i, x in decontaminate._matches([decontaminate.Index(rows, all_items, 64)], word, at)}
+    monkeypatch.setattr(decontaminate, "CELLS", 5)
+    parts = {(r, i): x for k in range(0, 40, 9) for r, i, x in decontaminate._matches([decontaminate.Index(rows[k : k + 9], all_items, 64)], word, at)}
+    assert len(whole) >= 30 and set(parts) == set(whole) and all(parts[k] == pytest.approx(whole[k]) for k in whole)
+
+
 def test_items_split_into_question_and_answer():
     assert decontaminate.split_item("What is it? A dog.") == ("What is it?", "A dog.")
     assert decontaminate.split_item("One only") == ("One only", "One only")

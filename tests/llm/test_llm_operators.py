@@ -181,6 +181,19 @@ def test_fixity_audit(spark):
     none = warc.tree(warc.warc_files(df.where("false")))
     assert warc.audit(none, none).count() == 0
 
+    def second_record_gone(content):
+        at = [(a, n) for a, n, _ in warc.parse(content)]
+        return content[: at[1][0]] + content[at[1][0] + at[1][1] :] if len(at) > 1 else content
+
+    gone = warc.audit(one, warc.tree(warc.replicate(files, second_record_gone))).collect()
+    held = {r["page_id_a"] for r in gone if r["first_a"] is not None}
+    every = [[f.get("warc-page-id") for _, _, f in warc.parse(bytes(r["content"]))] for r in files.collect()]
+    assert held == {None if p == "" else int(p) for pages in every for p in pages[1:]}  # all ranges behind it moved
+    grown = warc.audit(one, warc.tree(warc.replicate(files, lambda x: x + b"tail")))
+    assert grown.count() == files.count()  # what follows the last record
+    lost = warc.audit(one, warc.tree(files.where("part = 0 and file = 0"))).collect()
+    assert len(lost) == sum(map(len, every)) - len(next(e for r, e in zip(files.collect(), every) if (r["part"], r["file"]) == (0, 0)))
+
 
 @small
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
