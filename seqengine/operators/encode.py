@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from seqengine.functions.scalars import chars
 from seqengine.operators import vocab as V
+from seqengine.sources import io
 
 
 def _lookup(tokens: Sequence[str]) -> Column:
@@ -199,6 +200,15 @@ class BpeTokenizer(_Base):
         self.tokens, self.merges = V.fit_bpe(labels, size, categories)
         return self
 
+    def save(self, path: str) -> None:
+        io.save_bpe(self._ready(), self.merges, path)
+
+    def load(self, path: str) -> BpeTokenizer:
+        kind, self.tokens, self.merges = io.load_tokenizer(path)
+        if kind != "bpe":
+            raise ValueError(f"not a byte-pair file: {path}")
+        return self
+
     def encode(self, text: Column) -> Column:
         return encode_bpe(text, self._ready(), self.merges)
 
@@ -212,6 +222,16 @@ class UnigramTokenizer(_Base):
         self.tokens = [t for t, _ in self.pieces]
         return self
 
+    def save(self, path: str) -> None:
+        self._ready()
+        io.save_unigram(self.pieces, path)
+
+    def load(self, path: str) -> UnigramTokenizer:
+        kind, self.tokens, self.pieces = io.load_tokenizer(path)
+        if kind != "unigram":
+            raise ValueError(f"not a unigram file: {path}")
+        return self
+
     def encode(self, text: Column) -> Column:
         self._ready()
         return encode_unigram(text, self.pieces)

@@ -33,6 +33,27 @@ def boundary_features(steps: DataFrame, keys: Sequence[str], channels: Sequence[
     return out
 
 
+def pauses(steps: DataFrame, keys: Sequence[str], channels: Sequence[str], half_widths: Sequence[int] = (5, 10, 15), t: str = "t", still: float = 1e-3) -> DataFrame:
+    """The share of still steps in windows around each step: those whose channels all moved by at most `still` since the step before."""
+    order = W.partitionBy(*keys).orderBy(t)
+    quiet = F.lit(True)
+    for c in channels:
+        quiet &= F.abs(F.col(c) - F.coalesce(F.lag(c).over(order), F.col(c))) <= still
+    out = steps.withColumn("__quiet", quiet.cast("double"))
+    for k in half_widths:
+        out = out.withColumn(f"pause_{k}", F.avg("__quiet").over(order.rowsBetween(-k, k)))
+    return out.drop("__quiet")
+
+
+def frame_similarity(frames: DataFrame, keys: Sequence[str], feature: str = "feature", t: str = "t", reach: int = 1) -> DataFrame:
+    """Cosine similarity of each frame's encoder output with that `reach` frames later, null at the end and for zero vectors."""
+    after = F.lead(feature, reach).over(W.partitionBy(*keys).orderBy(t))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    out = frames.withColumn("__after", after)
+    norm = F.sqrt(dot(F.col(feature), F.col(feature)) * dot(F.col("__after"), F.col("__after")))
+    return out.withColumn("similarity", F.when(norm > 0, dot(F.col(feature), F.col("__after")) / norm)).drop("__after")
+
+
 def at_boundaries(boundaries: DataFrame, features: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
     """Features of the steps where boundaries lie: an equi-join on recording and step."""
     return boundaries.join(features, [*keys, t])
@@ -46,11 +67,14 @@ def continuity(features: Sequence[Column], weights: Sequence[float]) -> Column:
 
 
 def pair_statistics(pairs: DataFrame, pair: str = "pair", group: str = "writer", value: str = "score") -> DataFrame:
-    """Count, group coverage, median and interquartile range of each pair."""
-    quarter = lambda p: F.percentile(value, p)
-    return pairs.groupBy(pair).agg(
-        F.count("*").alias("count"), F.count_distinct(group).alias("coverage"), F.median(value).alias("median"), (quarter(0.75) - quarter(0.25)).alias("iqr")
-    )
+    """Count, group coverage, median and interquartile range of each pair.
+
+    Equal (pair, group, value) rows are counted before the shuffle; one weighted
+    percentile then reads the counts.
+    """
+    small = pairs.groupBy(pair, group, value).agg(F.count("*").alias("n"))
+    out = small.groupBy(pair).agg(F.sum("n").alias("count"), F.size(F.collect_set(group)).cast("long").alias("coverage"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
+    return out.select(pair, "count", "coverage", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
 def motion_bigrams(statistics: DataFrame, top: int, least_count: int = 1, least_coverage: int = 1, least_median: float = 0.0) -> DataFrame:
@@ -108,3 +132,27 @@ def motion_unigram(pieces: Sequence[tuple[str, float]], continuity: dict[str, fl
     single = [x for x in scored if len(x[0]) == 1 or x[0] == V.PAD]
     rest = sorted((x for x in scored if x not in single), key=lambda x: (-x[1], x[0]))
     return single + rest[: max(0, size - len(single))]
+
+
+def fit_motion_unigram(frequency: dict[str, int], pieces: Sequence[tuple[str, float]], continuity: dict[str, float], weight: float, size: int, rounds: int = 2) -> list[tuple[str, float]]:
+    """Motion-aware unigram training: rescore, prune and re-estimate on the best segmentations, in turn.
+
+    Each round rescores pieces by their weakest inner boundary, keeps a share of
+    them that falls to `size`, segments every word by dynamic programming and
+    counts pieces anew.  Single characters stay.
+    """
+    from collections import Counter
+
+    from seqengine.operators.encode import viterbi
+
+    now = list(pieces)
+    for turn in range(rounds):
+        target = size + (len(now) - size) * (rounds - 1 - turn) // rounds if len(now) > size else size
+        scores = {t: s for t, s in motion_unigram(now, continuity, weight, target) if t != V.PAD}
+        used: Counter = Counter({t: 1 for t in scores if len(t) == 1})
+        for word, n in frequency.items():
+            for piece in viterbi(word, scores):
+                used[piece] += n
+        shares = V._log_shares(used)
+        now = [(V.PAD, 0.0), *sorted(shares.items(), key=lambda x: (-x[1], x[0]))]
+    return now

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,9 +48,25 @@ def label_of(indices: Column, categories: Sequence[str] = CATEGORIES) -> Column:
     return strip(F.array_join(F.transform(indices, lambda i: F.element_at(table, (i + 1).cast("int"))), ""))
 
 
-def dense_ids(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "id") -> DataFrame:
-    """Ordinals from 0 within each key, in order."""
-    return rows.withColumn(out, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+def dense_ids(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "id", chunk: Column | None = None) -> DataFrame:
+    """Ordinals from 0 within each key, in order.
+
+    With `chunk`, an expression that never falls along the order and isn't
+    null, rows are numbered within each chunk and the counts of the chunks
+    before are added, so that a key with many rows is spread over tasks.
+    """
+    if chunk is None:
+        return rows.withColumn(out, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    cut = rows.withColumn("__chunk", chunk)
+    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    base = cut.groupBy(*keys, "__chunk").agg(F.count("*").alias("n")).withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    base = base.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__c"), "__base")
+    same = F.col("__chunk") == F.col("__c")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.row_number().over(W.partitionBy(*keys, "__chunk").orderBy(*order)) - 1
+    numbered = cut.withColumn("__place", inside).join(base, same)
+    return numbered.select(*rows.columns, (F.col("__base") + F.col("__place")).cast("long").alias(out))
 
 
 def file_path(fold: Column, split: Column, number: Column) -> Column:
@@ -102,3 +119,48 @@ def check_dataset(annotations: DataFrame, categories: Sequence[str] = CATEGORIES
         ((F.min("id") == 0) & (F.max("id") == F.count("*") - 1) & (F.count_distinct("id") == F.count("*"))).alias("dense"),
         F.count_if(foreign).alias("foreign_labels"),
     )
+
+
+def select_fold(rows: DataFrame, fold: str | int, column: str = "fold") -> DataFrame:
+    """One fold's rows; on a table partitioned by fold this prunes the scan."""
+    return rows.where(F.col(column).cast("string") == str(fold))
+
+
+def without_blank(categories: Column) -> Column:
+    """The category list without its first, the blank."""
+    return F.slice(categories, F.lit(2), F.greatest(F.size(categories) - 1, F.lit(0)))
+
+
+def typed(rows: DataFrame, values: str = "values", ids: str = "ids") -> DataFrame:
+    """Samples in single precision and label ids as 32-bit integers, of whatever depth the arrays are."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (values, ids) if c in rows.columns}
+    kinds = {c: "array<" * k.count("array<") + ("float" if c == values else "int") + ">" * k.count("array<") for c, k in kinds.items()}
+    return rows.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in rows.columns])
+
+
+def setting(value: Column, default: int = 0) -> Column:
+    """A configured value, or its default where it is missing."""
+    return F.coalesce(value, F.lit(default))
+
+
+def routed_epochs(metrics: DataFrame, test: bool, keys: Sequence[str] = ("fold",), by: str = "character_error_rate") -> DataFrame:
+    """Rows of metrics(keys, epoch, metric, value) of each run's reported epoch: -1 of a test run, else the best one by a metric."""
+    if test:
+        return metrics.where("epoch = -1")
+    best = metrics.where(F.col("metric") == by).groupBy(*keys).agg(F.min(F.struct("value", "epoch")).alias("b")).select(*keys, F.col("b.epoch").alias("epoch"))
+    return metrics.join(best, [*keys, "epoch"]).select(*metrics.columns)
+
+
+def annotated(annotations: DataFrame, signal: DataFrame, key: str = "filename") -> DataFrame:
+    """Steps of recordings with their annotation; Spark broadcasts the annotations where they are small."""
+    return signal.join(annotations, key)
+
+
+def by_count(rows: DataFrame, count: str = "count", tie: str = "token") -> DataFrame:
+    """All rows, the most frequent first, ties in order of `tie`."""
+    return rows.orderBy(F.desc(count), F.col(tie))
+
+
+def cached(rows: DataFrame) -> DataFrame:
+    """Parsed and encoded rows kept for later epochs, in memory as far as they fit, else on disk."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)

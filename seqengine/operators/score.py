@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,14 +36,21 @@ def ctc_nll(probs: np.ndarray, labels: np.ndarray, blank: int = 0, alpha: float
     return float(-np.logaddexp.reduce(state[-2:]))
 
 
-def ctc_loss(frames: Column, labels: Column, blank: int = 0, alpha: float = 1e-6) -> Column:
-    """Loss of each row over its label count (at least 1); their mean is the batch's loss."""
+def ctc_loss(rows: DataFrame, key: str, blank: int = 0, alpha: float = 1e-6) -> DataFrame:
+    """rows(key, frames, ids) as key and loss, each row's over its label count (at least 1); their mean is the batch's loss.
 
-    @F.pandas_udf(T.DoubleType())
-    def loss(frames: pd.Series, labels: pd.Series) -> pd.Series:
-        return pd.Series([ctc_nll(np.array([np.asarray(r, float) for r in f]), np.asarray(y, int), blank, alpha) / max(1, len(y)) if len(f) else float("inf") for f, y in zip(frames, labels)])
+    Frames are taken over their total; a row without frames has an infinite loss.
+    """
 
-    return loss(frames, labels)
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in stream:
+            losses = []
+            for frames, ids in zip(part["frames"], part["ids"]):
+                probs = np.array([np.asarray(f, float) for f in frames])
+                losses.append(ctc_nll(probs / probs.sum(axis=1, keepdims=True), np.asarray(ids, int), blank, alpha) / max(1, len(ids)) if len(probs) else float("inf"))
+            yield pd.DataFrame({key: part[key], "loss": losses})
+
+    return rows.select(key, "frames", "ids").mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, loss double")
 
 
 def force_align(probs: np.ndarray, labels: np.ndarray, blank: int = 0) -> list[tuple[int, int, float]]:
@@ -117,3 +124,13 @@ def infer(recordings: DataFrame, make_model: Callable[[], Callable[[np.ndarray],
 
     predict = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[width]])
     return recordings.withColumn("frames", predict(values))
+
+
+def evaluation_step(batch: DataFrame, decode: Callable[[Column], Column], group: Sequence[str] = (), ratio: int = 1, blank: int = 0) -> DataFrame:
+    """The metric bundle of batch(frames, len_seq, ids): best paths of the valid frames, decoded like the labels, then compared."""
+    from seqengine.functions.scalars import best_path, drop_blank
+    from seqengine.operators.metrics import evaluate
+
+    hyp = decode(best_path(F.col("frames"), F.col("len_seq"), ratio))
+    pairs = batch.select(*group, decode(drop_blank(F.col("ids"), blank)).alias("ref"), hyp.alias("hyp"))
+    return evaluate(pairs, group)

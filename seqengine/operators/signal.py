@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqengine.operators.prep import dense_ids
+
 
 def to_arrays(steps: DataFrame, keys: Sequence[str], channels: Sequence[str], t: str = "t") -> DataFrame:
     """Long to array layout: keys..., values (array of channel arrays in order of t)."""
@@ -39,19 +41,27 @@ def group_members(rows: DataFrame, group: str, member: str) -> DataFrame:
     return rows.groupBy(group).agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 
-def concat_same_group(rows: DataFrame, group: str, member: str, count: int, pick: Column | None = None, seed: int = 0) -> DataFrame:
+def concat_same_group(rows: DataFrame, group: str, member: str, count: int, pick: Column | None = None, seed: int = 0, chunk: Column | None = None) -> DataFrame:
     """For each row, `count` members of its own group drawn with replacement around itself.
 
     The first half of the draws, the row itself, then the rest: group, member,
-    parts.  A draw k is the member at `pick` (a column with k as `k`) or at a
-    hash of member, k and seed, modulo the group's size.  Never a self-join:
-    each row meets its group's member list once.
+    parts.  A draw k is the member whose place in order is `pick` plus k, or a
+    hash of member, k and seed, modulo the group's size.  Every draw meets the
+    one member of that place by an equi-join on group and place, so bytes grow
+    with rows and draws, whatever a group's size.  `chunk` as in dense_ids.
     """
-    draw = (lambda k: F.pmod(F.xxhash64(F.col(member), F.lit(k), F.lit(seed)), F.size("members"))) if pick is None else (lambda k: F.pmod(pick + k, F.size("members")))
-    draws = [F.get("members", draw(k).cast("int")) for k in range(count)]
+    placed = dense_ids(rows.select(group, member).distinct(), [group], [member], "__place", chunk)
+    sizes = placed.groupBy(group).agg(F.count("*").alias("__n"))
+    drawn = rows.select(group, member, *([pick.alias("__pick")] if pick is not None else [])).join(sizes, group).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count else None
+    if drawn is None:
+        return rows.select(group, member, F.array(member).alias("parts"))
+    start = F.col("__pick") + F.col("__k") if pick is not None else F.xxhash64(F.col(member), F.col("__k"), F.lit(seed))
+    drawn = drawn.withColumn("__place", F.pmod(start.cast("long"), F.col("__n")))
+    other = placed.select(F.col(group), F.col("__place"), F.col(member).alias("__other"))
+    met = drawn.join(other, [group, "__place"])
+    parts = met.groupBy(group, member).agg(F.array_sort(F.collect_set(F.struct("__k", "__other"))).alias("d")).withColumn("d", F.transform("d", lambda x: x["__other"]))
     half = count // 2
-    joined = rows.join(group_members(rows, group, member), group)
-    return joined.select(group, member, F.array(*draws[:half], F.col(member), *draws[half:]).alias("parts"))
+    return parts.select(group, member, F.concat(F.slice("d", 1, half) if half else F.array().cast(f"array<{rows.schema[member].dataType.simpleString()}>"), F.array(member), F.slice("d", half + 1, count - half)).alias("parts"))
 
 
 def cumulative(steps: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "total") -> DataFrame:

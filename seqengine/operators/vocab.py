@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -109,26 +110,35 @@ def bpe_merges(frequency: dict[str, int], size: int, categories: Sequence[str] =
             count[pair] += weight[k]
             where[pair].add(k)
     merges: list[tuple[str, str]] = []
+    heap = [(-n, pair) for pair, n in count.items()]
+    heapify(heap)
     while len(tokens) < size:
-        best = min(((-n, pair) for pair, n in count.items() if n > 0), default=None)
-        if best is None:
+        while heap and -heap[0][0] != count.get(heap[0][1], 0):
+            heappop(heap)  # its count has changed since
+        if not heap or not heap[0][0]:
             break
-        pair = best[1]
+        pair = heappop(heap)[1]
         text = tokens[pair[0]] + tokens[pair[1]]
         merges.append((tokens[pair[0]], tokens[pair[1]]))
         new = ids.get(text)
         if new is None:
             new = ids[text] = len(tokens)
             tokens.append(text)
+        changed: set[tuple[int, int]] = set()
         for k in list(where.pop(pair, ())):
             word = spelled[k]
             for old in zip(word, word[1:]):
                 count[old] -= weight[k]
+                changed.add(old)
             spelled[k] = word = merged(word, pair, new)
             for now in zip(word, word[1:]):
                 count[now] += weight[k]
                 where[now].add(k)
+                changed.add(now)
         count.pop(pair, None)
+        for other in changed - {pair}:
+            if count[other] > 0:
+                heappush(heap, (-count[other], other))
     return tokens, merges
 
 
@@ -195,3 +205,24 @@ def _log_shares(count: dict[str, int]) -> dict[str, float]:
 
     total = sum(count.values())
     return {t: log(n / total) for t, n in count.items()}
+
+
+def sweep(labels: DataFrame, sizes: Sequence[int], categories: Sequence[str] = (), kinds: Sequence[str] = ("bigram", "bpe", "unigram")) -> DataFrame:
+    """Vocabularies of every kind and size of one fold's labels: tokenizer, size, token_id, token.
+
+    Bigrams and words are counted once; a smaller byte-pair vocabulary is the
+    beginning of the largest one.
+    """
+    spark, out = labels.sparkSession, []
+    letters = sorted(set(categories)) or ["", *sorted(r[0] for r in alphabet(labels).collect())]
+    if "bigram" in kinds:
+        room = max(sizes) - len(letters)
+        counts = [r["bigram"] for r in bigram_counts(labels).orderBy(F.desc("count"), "bigram").limit(max(room, 0)).collect()]
+        out += [("bigram", n, k, t) for n in sizes for k, t in enumerate([*letters, *counts[: max(n - len(letters), 0)]])]
+    if "bpe" in kinds:
+        tokens, _ = fit_bpe(labels, max(sizes), categories)
+        base = 1 + len({c for c in tokens[1:] if len(c) == 1})
+        out += [("bpe", n, k, t) for n in sizes for k, t in enumerate(tokens[: max(n, base)])]
+    if "unigram" in kinds:
+        out += [("unigram", n, k, t) for n in sizes for k, (t, _) in enumerate(fit_unigram(labels, n, categories))]
+    return spark.createDataFrame(out, "tokenizer string, size int, token_id int, token string")

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqengine.functions import scalars as S
+from seqengine.functions import tables
 from seqengine.operators import augment as A
 from seqengine.operators import encode as E
 from seqengine.operators import metrics as M
+from seqengine.operators import network as N
 from seqengine.operators import planned as D
 from seqengine.operators import prep as P
 from seqengine.operators import score
@@ -45,13 +47,13 @@ def six(c: Column | str) -> Column:
 
 
 # Documents as labels: the words of a text, its language as the fold, its source as the writer.
-_WORDS = "SELECT lang, unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS label FROM documents"
+_WORDS = "SELECT lang, unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS label FROM documents"
 _LABELS = f"SELECT DISTINCT lang, label FROM ({_WORDS}) WHERE label <> ''"
 _PAIRS = f"SELECT lang, label[i:i+1] AS bigram FROM (SELECT lang, label, unnest(range(1, len(label))) AS i FROM ({_LABELS}) WHERE len(label) > 1)"
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
-    words = table(spark, folder, "documents").select("lang", F.explode(F.split("text", "[^A-Za-z]+")).alias("label"))
+    words = table(spark, folder, "documents").select("lang", F.explode(F.split("text", r"[^\p{L}]+")).alias("label"))
     return words.where("label <> ''")
 
 
@@ -155,10 +157,18 @@ def unigram_encode(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", E.decode_ids(ids, [t for t, _ in pieces], (0,)).alias("text"))
 
 
-@query("SELECT p_partkey, p_name AS text FROM part")
+@query(f"""
+WITH RECURSIVE v AS (SELECT bigram FROM ({_PART_PAIRS}) ORDER BY n DESC, bigram LIMIT 20),
+s AS (SELECT p_name, 1 AS i, CAST([] AS VARCHAR[]) AS out FROM (SELECT DISTINCT p_name FROM part)
+  UNION ALL SELECT p_name, i + CASE WHEN i < len(p_name) AND p_name[i:i+1] IN (SELECT bigram FROM v) THEN 2 ELSE 1 END,
+  list_append(out, CASE WHEN i < len(p_name) AND p_name[i:i+1] IN (SELECT bigram FROM v) THEN p_name[i:i+1] ELSE p_name[i] END) FROM s WHERE i <= len(p_name))
+SELECT p_partkey, array_to_string(out, '|') AS tokens FROM part JOIN s USING (p_name) WHERE i > len(p_name)""")
 def longest_match(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest known token is a bigram here, so pieces are those of the greedy pairs."""
     tokens = _part_bigrams(spark, folder)
-    return table(spark, folder, "part").select("p_partkey", E.decode_ids(E.longest_match(F.col("p_name"), tokens), tokens).alias("text"))
+    ids = E.longest_match(F.col("p_name"), tokens)
+    rows = table(spark, folder, "part").select("p_partkey", ids.alias("ids"))
+    return rows.select("p_partkey", F.array_join(F.transform("ids", lambda i: F.element_at(F.array(*map(F.lit, tokens)), i + 1)), "|").alias("tokens"))
 
 
 @query("SELECT source, count(*) AS members, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")
@@ -172,7 +182,7 @@ WITH g AS (SELECT source, list(doc_id ORDER BY doc_id) AS m FROM documents GROUP
 SELECT source, doc_id, concat_ws(',', m[(doc_id * 31) % len(m) + 1], doc_id, m[(doc_id * 31 + 1) % len(m) + 1], m[(doc_id * 31 + 2) % len(m) + 1]) AS parts
 FROM documents JOIN g USING (source)""")
 def writer_concat(spark: SparkSession, folder: str) -> DataFrame:
-    rows = G.concat_same_group(table(spark, folder, "documents").select("source", "doc_id"), "source", "doc_id", 3, F.col("doc_id") * 31)
+    rows = G.concat_same_group(table(spark, folder, "documents").select("source", "doc_id"), "source", "doc_id", 3, F.col("doc_id") * 31, chunk=F.expr("doc_id div 4096"))
     return rows.select("source", "doc_id", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
 
 
@@ -185,7 +195,7 @@ def length_filter(spark: SparkSession, folder: str) -> DataFrame:
 SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS id,
   'data/' || lang || '/train/' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS VARCHAR), 8, '0') || '.csv' AS filename FROM documents""")
 def fold_ids(spark: SparkSession, folder: str) -> DataFrame:
-    rows = P.dense_ids(table(spark, folder, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"])
+    rows = P.dense_ids(table(spark, folder, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], chunk=F.expr("doc_id div 4096"))
     return rows.withColumn("filename", P.file_path(F.col("lang"), F.lit("train"), F.col("id")))
 
 
@@ -342,12 +352,21 @@ def batch_count(spark: SparkSession, folder: str) -> DataFrame:
     return P.batch_count(table(spark, folder, "documents"), 64)
 
 
-@query("SELECT batch, count(*) AS items, max(n) AS time, CAST(sum(n) AS BIGINT) AS steps FROM (SELECT vec_id // 64 AS batch, 1 + vec_id % 7 AS n FROM embeddings) GROUP BY batch")
+@query("""SELECT batch, count(*) AS items, max(n) AS time, CAST(sum(n) AS BIGINT) AS steps, round(sum(n * list_sum(list_transform(e, lambda x: x::DOUBLE))), 3) AS total,
+  CAST(max(m) * count(*) AS BIGINT) AS label_cells, CAST(sum(label * m) AS BIGINT) AS label_sum, CAST(sum(m) AS BIGINT) AS labels
+FROM (SELECT vec_id // 64 AS batch, 1 + vec_id % 7 AS n, 1 + vec_id % 3 AS m, label, embedding AS e FROM embeddings) GROUP BY batch""")
 def collate(spark: SparkSession, folder: str) -> DataFrame:
-    """Recordings of 1 to 7 steps of 64 channels in padded batches."""
-    rows = table(spark, folder, "embeddings").select("vec_id", F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 7).cast("int")).alias("values"), F.array("label").alias("ids"))
+    """Recordings of 1 to 7 steps of 64 channels with 1 to 3 labels in padded batches: sizes, and sums of all cells."""
+    ids = F.array_repeat("label", (1 + F.col("vec_id") % 3).cast("int"))
+    rows = table(spark, folder, "embeddings").select("vec_id", F.array_repeat(F.col("embedding").cast("array<double>"), (1 + F.col("vec_id") % 7).cast("int")).alias("values"), ids.alias("ids"))
     out = G.collate(rows, 64, "vec_id")
-    return out.select("batch", F.size("seqs").cast("long").alias("items"), F.size(F.col("seqs")[0][0]).cast("long").alias("time"), F.aggregate("lens_seq", F.lit(0).cast("long"), lambda a, x: a + x).alias("steps"))
+    total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    whole = lambda c: total(F.flatten(c) if isinstance(c, str) else c, F.lit(0).cast("long"))
+    return out.select(
+        "batch", F.size("seqs").cast("long").alias("items"), F.size(F.col("seqs")[0][0]).cast("long").alias("time"), whole(F.col("lens_seq").cast("array<long>")).alias("steps"),
+        F.round(total(F.flatten(F.flatten("seqs")).cast("array<double>"), F.lit(0.0)), 3).alias("total"),
+        F.size(F.flatten("labels")).cast("long").alias("label_cells"), whole(F.flatten("labels").cast("array<long>")).alias("label_sum"), whole(F.col("lens_label").cast("array<long>")).alias("labels"),
+    )
 
 
 @query("SELECT user_id, count(*) // 8 AS frames FROM events GROUP BY user_id")
@@ -535,11 +554,15 @@ def _frames() -> Column:
     return S.let(S.softmax(F.col("embedding").cast("array<double>")), lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(p, k * 8 + 1, 8)))
 
 
-@query()
+@query("""
+WITH f AS (SELECT vec_id, 1 + label % 7 AS y, k, list_transform(embedding, lambda x: exp(x::DOUBLE))[k * 8 + 1 : k * 8 + 8] AS r FROM embeddings, range(8) t(k)),
+p AS (SELECT vec_id, k, 0.999999::DOUBLE * r[1] / list_sum(r) + 1e-6::DOUBLE / 8 AS b, 0.999999::DOUBLE * r[y + 1] / list_sum(r) + 1e-6::DOUBLE / 8 AS q FROM f),
+s AS (SELECT vec_id, a.k AS first, z.k AS last, sum(ln(CASE WHEN p.k BETWEEN a.k AND z.k THEN q ELSE b END)) AS l FROM p, range(8) a(k), range(8) z(k) WHERE a.k <= z.k GROUP BY ALL)
+SELECT vec_id, round(-ln(sum(exp(l))), 6) AS loss FROM s GROUP BY vec_id""")
 def ctc_loss(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight frames of eight classes from each embedding, against its label."""
-    rows = table(spark, folder, "embeddings").select("vec_id", F.transform(_frames(), S.over_total).alias("frames"), F.array(1 + F.col("label") % 7).alias("ids"))
-    return rows.select("vec_id", score.ctc_loss(F.col("frames"), F.col("ids")).alias("loss"))
+    """Eight frames of eight classes from each embedding, against its label; the SQL sums over the label's first and last frame."""
+    rows = table(spark, folder, "embeddings").select("vec_id", _frames().alias("frames"), F.array(1 + F.col("label") % 7).alias("ids"))
+    return score.ctc_loss(rows, "vec_id").select("vec_id", six("loss").alias("loss"))
 
 
 @query()
@@ -589,9 +612,97 @@ def index_labels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", P.label_of(F.transform(ids, lambda i: F.least(i, F.lit(59)))).alias("text"))
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids FROM documents")
+@query()
 def seeded_shuffle(spark: SparkSession, folder: str) -> DataFrame:
-    return P.shuffled(table(spark, folder, "documents").select("doc_id"), "doc_id", 42, 3).agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
+    """The first hundred ids of a seeded permutation; a test holds the order against the hashes."""
+    return P.shuffled(table(spark, folder, "documents").select("doc_id"), "doc_id", 42, 3).limit(100)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
+def fold_select(spark: SparkSession, folder: str) -> DataFrame:
+    return P.select_fold(table(spark, folder, "documents"), "fr", "lang").select("doc_id", "lang")
+
+
+@query("SELECT token, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, token) AS place FROM (SELECT event_type AS token FROM events) GROUP BY token")
+def sorted_by_count(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").groupBy(F.col("event_type").alias("token")).agg(F.count("*").alias("count"))
+    ordered = P.by_count(rows).agg(F.collect_list(F.struct("token", "count")).alias("r"))
+    return ordered.select(F.posexplode("r").alias("p", "r")).select("r.token", "r.count", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@query("SELECT source, array_to_string(list_sort(list(DISTINCT doc_id % 7))[2:], ',') AS rest FROM documents GROUP BY source")
+def categories_without_blank(spark: SparkSession, folder: str) -> DataFrame:
+    lists = table(spark, folder, "documents").groupBy("source").agg(F.sort_array(F.collect_set(F.col("doc_id") % 7)).alias("c"))
+    return lists.select("source", F.array_join(P.without_blank(F.col("c")).cast("array<string>"), ",").alias("rest"))
+
+
+@query("SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def default_setting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return rows.select("doc_id", P.setting(F.col("quality"), -1).alias("quality"))
+
+
+@query("SELECT vec_id, CAST(round(list_sum(list_transform(embedding, lambda x: CAST(x::DOUBLE / 3 AS FLOAT)::DOUBLE)), 4) AS DOUBLE) AS total, [label, label] AS ids FROM embeddings")
+def typed_samples(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x / 3).alias("values"), F.array("label", "label").cast("array<long>").alias("ids"))
+    kept = P.typed(rows)
+    return kept.select("vec_id", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "ids")
+
+
+@query(f"""
+WITH m AS ({_METRICS}), b AS (SELECT fold, arg_min(epoch, (value, epoch)) AS epoch FROM m WHERE metric = 'character_error_rate' GROUP BY fold)
+SELECT fold, epoch, metric, value FROM m JOIN b USING (fold, epoch)""")
+def routed_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    return P.routed_epochs(_metrics(spark, folder), test=False)
+
+
+@query("SELECT e.event_id, e.user_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey")
+def annotated_steps(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return P.annotated(names, table(spark, folder, "events").select("event_id", "user_id"), "user_id")
+
+
+@query(f"""
+WITH d AS (SELECT label, vec_id, '{"".join(P.CATEGORIES)}' AS a, list_transform(range(8), lambda k: list_position(embedding[k * 8 + 1 : k * 8 + 8], list_max(embedding[k * 8 + 1 : k * 8 + 8])) - 1) AS path FROM embeddings),
+t AS (SELECT label, substr(a, 1 + CAST(vec_id % 7 AS INT), 1) AS ref, array_to_string(list_transform(list_filter(list_transform(range(1, 9), lambda i: CASE WHEN i = 1 OR path[i] <> path[i - 1] THEN path[i] ELSE 0 END), lambda x: x <> 0), lambda x: a[x]), '') AS hyp FROM d)
+SELECT label, round(avg(levenshtein(hyp, ref)), 6) AS levenshtein_distance, round(avg(length(ref)), 6) AS average_sentence_length, round(sum(levenshtein(hyp, ref)) / sum(length(ref)), 6) AS character_error_rate FROM t GROUP BY label""")
+def evaluation_step(spark: SparkSession, folder: str) -> DataFrame:
+    """Decode, then compare: best paths of eight frames against a label of one character."""
+    letters = ["", *P.CATEGORIES[:7]]
+    batch = table(spark, folder, "embeddings").select("label", _frames().alias("frames"), F.lit(8).alias("len_seq"), F.array((1 + F.col("vec_id") % 7).cast("int")).alias("ids"))
+    out = score.evaluation_step(batch, lambda ids: E.decode_ids(ids, letters), ["label"])
+    return out.select("label", *[six(c).alias(c) for c in ("levenshtein_distance", "average_sentence_length", "character_error_rate")])
+
+
+@query("SELECT vec_id, unnest(range(8)) AS place, unnest(list_transform(range(8), lambda k: (label + k) % 5)) AS token FROM embeddings")
+def explode_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The table function in SQL."""
+    tables.register(spark)
+    table(spark, folder, "embeddings").createOrReplaceTempView("token_rows")
+    return spark.sql("SELECT vec_id, cast(place AS bigint) AS place, cast(token AS bigint) AS token FROM token_rows, LATERAL explode_tokens(transform(sequence(0, 7), k -> cast((label + k) % 5 AS int)))")
+
+
+@query("""SELECT 'equal' AS event, CAST(sum(length(p_name) - length(replace(p_name, 'e', ''))) AS BIGINT) * 0 + CAST(sum(length(replace(p_name, 'e', ''))) AS BIGINT) AS chars FROM part
+UNION ALL SELECT 'substitute', CAST(sum(length(p_name) - length(replace(p_name, 'e', ''))) AS BIGINT) FROM part""")
+def align_chars(spark: SparkSession, folder: str) -> DataFrame:
+    """The table function in SQL, over names with # for e."""
+    tables.register(spark)
+    _marked(spark, folder).createOrReplaceTempView("pair_rows")
+    return spark.sql("SELECT a.event, cast(sum(length(a.ref)) AS bigint) AS chars FROM pair_rows p, LATERAL align_chars(p.ref, p.hyp) a GROUP BY a.event")
+
+
+@query()
+def tokenizer_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Vocabularies of three kinds and sizes; tests hold them against the single fits."""
+    return V.sweep(part_labels(spark, folder), [60, 80, 100])
+
+
+@query("""SELECT * FROM (VALUES ('blconv_s', 'bilstm_s', 0), ('blconv_s', 'bilstm_s', 1)) t(encoder, decoder, num_concat),
+(SELECT CAST(13 * 64 * 2 + 64 + 64 * 2 * 9 + 6 * 64 + 128 * 64 + 64 + 64 * 128 * 2 + 128 + 128 * 2 * 9 + 6 * 128 + 256 * 128 + 128 + 128 * 256 * 2 + 256 + 256 * 2 * 9 + 6 * 256 + 512 * 256 + 256
+  + 8 * 64 * (256 + 64) + 16 * 64 + 8 * 64 * (128 + 64) + 16 * 64 + 128 * 500 + 500 AS BIGINT) AS params)""")
+def network_params(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [("blconv_s", "bilstm_s", n, N.network_cost(13, "blconv_s", "bilstm_s", n).params) for n in (0, 1)]
+    return spark.createDataFrame(rows, "encoder string, decoder string, num_concat int, params long")
 
 
 @query()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import logging
 import pickle
 from collections.abc import Iterator, Sequence
 from pathlib import Path
@@ -193,3 +195,131 @@ def write_summary(results: dict[str, Any], path: str) -> None:
     part = Path(f"{path}.tmp")
     part.write_text(json.dumps(results, ensure_ascii=False, indent=2, sort_keys=True), encoding="utf-8")
     part.replace(path)
+
+
+def write_histories(histories: DataFrame, path: str) -> None:
+    """Metric histories (path, epoch, train, test, evaluation) as one JSON object a run, with the best epoch of each metric, a line a run.
+
+    Null parts of an epoch are left out.  Ties of the best take the first epoch.
+    """
+    body = F.struct(F.col("epoch").cast("string").alias("key"), F.to_json(F.struct("train", "test", "evaluation")).alias("value"))
+    runs = histories.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("epoch", body.alias("e")))).alias("rows"))
+    best = epoch_metrics(histories).groupBy("path", "metric").agg(F.min(F.struct("value", "epoch")).alias("b"))
+    entry = F.concat(F.to_json(F.struct(F.col("metric").alias("m"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("metric").alias("m")))) - 6), F.lit(": ["), F.col("b.epoch").cast("string"), F.lit(", "), F.col("b.value").cast("string"), F.lit("]"))
+    best = best.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("best"))
+    lines = F.array_join(F.transform("rows", lambda r: F.concat(F.lit('"'), r["e"]["key"], F.lit('": '), r["e"]["value"])), ", ")
+    joined = runs.join(best, "path", "left")
+    joined.select(F.concat(F.lit("{"), lines, F.when(F.col("best").isNotNull(), F.concat(F.lit(', "best": {'), "best", F.lit("}"))).otherwise(F.lit("")), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """predictions(epoch, idx, label, pred) as one JSON object: the labels, and each epoch's predictions in order of idx."""
+    each = predictions.groupBy("epoch").agg(F.array_sort(F.collect_list(F.struct("idx", "label", "pred"))).alias("r"))
+    both = each.select(F.col("epoch").cast("string").alias("key"), F.transform("r", lambda x: x["pred"]).alias("texts"), F.transform("r", lambda x: x["label"]).alias("labels"))
+    first = both.agg(F.min(F.struct(F.col("key").cast("int"), "labels")).alias("f")).select(F.lit("labels").alias("key"), F.col("f.labels").alias("texts"))
+    pairs = first.unionByName(both.select("key", "texts")).agg(F.map_from_entries(F.collect_list(F.struct("key", "texts"))).alias("m"))
+    pairs.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def token_frequencies(histogram: DataFrame, lengths: DataFrame, summary: DataFrame) -> DataFrame:
+    """The token-frequency document as one row: ratio_token and ratio_length maps, mean and std.
+
+    From token_histogram, length_shares and share_summary.
+    """
+    shares = histogram.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("token").cast("string"), "ratio")))).alias("ratio_token"))
+    by_length = lengths.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("length").cast("string"), "ratio")))).alias("ratio_length"))
+    return shares.join(by_length).join(summary.select("mean", "std")).select(F.to_json(F.struct("ratio_token", "ratio_length", "mean", "std")).alias("value"))
+
+
+def write_token_frequencies(histogram: DataFrame, lengths: DataFrame, summary: DataFrame, path: str) -> None:
+    token_frequencies(histogram, lengths, summary).coalesce(1).write.mode("overwrite").text(path)
+
+
+def run_log(path: str, name: str = "seqengine") -> logging.Logger:
+    """A logger that appends lines with time and level to a file of the driver."""
+    log = logging.getLogger(f"{name}:{path}")
+    log.setLevel(logging.INFO)
+    if not log.handlers:
+        handler = logging.FileHandler(path, encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s | %(levelname)s | %(message)s"))
+        log.addHandler(handler)
+    return log
+
+
+def tokenizer_json(model: dict[str, Any]) -> str:
+    """A tokenizer file of the common JSON format around a model: <PAD> special, cut at white space and marks."""
+    pad = {"id": 0, "content": "<PAD>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    parts = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [pad], "normalizer": None, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": {"type": "BPEDecoder", "suffix": "</w>"}}
+    return json.dumps({**parts, "model": model}, ensure_ascii=False, indent=2)
+
+
+def save_bpe(tokens: Sequence[str], merges: Sequence[tuple[str, str]], path: str) -> None:
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    Path(path).write_text(tokenizer_json({**model, "vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(m) for m in merges]}), encoding="utf-8")
+
+
+def save_unigram(pieces: Sequence[tuple[str, float]], path: str) -> None:
+    Path(path).write_text(tokenizer_json({"type": "Unigram", "unk_id": None, "vocab": [list(p) for p in pieces], "byte_fallback": False}), encoding="utf-8")
+
+
+def load_tokenizer(path: str) -> tuple[str, list[str], list[Any]]:
+    """Kind, tokens in id order, and merges (BPE) or pieces with scores (Unigram) of a tokenizer file; merges may be pairs or one string."""
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    if model["type"] == "BPE":
+        tokens = [t for t, _ in sorted(model["vocab"].items(), key=lambda x: x[1])]
+        return "bpe", tokens, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if model["type"] == "Unigram":
+        return "unigram", [t for t, _ in model["vocab"]], [(t, float(x)) for t, x in model["vocab"]]
+    raise ValueError(f"unknown tokenizer model: {model['type']}")
+
+
+class Run:
+    """A run's record: its epochs' iterations, summaries and evaluations, kept as tables and written as history and predictions.
+
+    Every `frequency`-th iteration is logged; the state, with the seed of the
+    epoch, can be written and resumed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, tag: str = "train", frequency: int = 1, seed: int = 0):
+        self.spark, self.folder, self.tag, self.frequency, self.seed = spark, folder, tag, frequency, seed
+        self.epochs: dict[int, dict[str, Any]] = {}
+        self.predictions: list[tuple[int, int, str, str]] = []
+
+    def iteration(self, epoch: int, number: int, loss: float, lr: float = -1.0, time: float = 0.0, part: str = "train") -> None:
+        kept = self.epochs.setdefault(epoch, {"train": [], "test": [], "evaluation": None, "losses": {"train": [], "test": []}})
+        kept["losses"][part].append(loss)
+        if (number + 1) % self.frequency == 0:
+            kept[part].append({"lr": lr, "iters": number + 1, "loss": loss, "time": time})
+
+    def summarize(self, epoch: int, time: float = 0.0, part: str = "train") -> float:
+        """The mean loss of an epoch, kept as its last row."""
+        losses = self.epochs[epoch]["losses"][part]
+        mean = sum(losses) / len(losses)
+        self.epochs[epoch][part].append({"loss_avg": mean, "time": time})
+        return mean
+
+    def evaluation(self, epoch: int, metrics: dict[str, float], labels: Sequence[str] = (), preds: Sequence[str] = ()) -> None:
+        self.epochs.setdefault(epoch, {"train": [], "test": [], "evaluation": None, "losses": {"train": [], "test": []}})["evaluation"] = metrics
+        self.predictions += [(epoch, i, y, p) for i, (y, p) in enumerate(zip(labels, preds))]
+
+    def epoch_seed(self, epoch: int) -> int:
+        """The seed of an epoch's random expressions, so that a resumed run draws as an unbroken one."""
+        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{epoch}".encode(), digest_size=7).digest(), "big")
+
+    def histories(self) -> DataFrame:
+        rows = [(self.tag, e, x["train"], x["test"], x["evaluation"]) for e, x in sorted(self.epochs.items())]
+        return self.spark.createDataFrame(rows, f"path string, epoch int, train array<{ITERATION}>, test array<{ITERATION}>, evaluation {EVALUATION}")
+
+    def save(self) -> None:
+        write_histories(self.histories(), f"{self.folder}/{self.tag}_history")
+        if self.predictions:
+            write_predictions(self.spark.createDataFrame(self.predictions, "epoch int, idx int, label string, pred string"), f"{self.folder}/{self.tag}_preds")
+        Path(self.folder, f"{self.tag}_state.json").write_text(json.dumps({"seed": self.seed, "frequency": self.frequency, "epochs": self.epochs, "predictions": self.predictions}), encoding="utf-8")
+
+    @classmethod
+    def resume(cls, spark: SparkSession, folder: str, tag: str = "train") -> Run:
+        state = json.loads(Path(folder, f"{tag}_state.json").read_text(encoding="utf-8"))
+        run = cls(spark, folder, tag, state["frequency"], state["seed"])
+        run.epochs = {int(e): x for e, x in state["epochs"].items()}
+        run.predictions = [tuple(p) for p in state["predictions"]]
+        return run
