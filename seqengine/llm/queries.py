@@ -98,11 +98,13 @@ l AS (SELECT conv_id, turn, role, text, list_transform(string_split(text, chr(10
 o AS (SELECT *, trim(array_to_string(list_transform(list_filter(ls, lambda x: x.level = 0), lambda x: x.content), chr(10))) AS own,
   len(list_filter(ls, lambda x: x.level > 0)) > 0 AS quoted,
   row_number() OVER w - 1 AS position, lag(turn) OVER w AS previous FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+v AS (SELECT *, unnest(list_distinct(list_transform(ls, lambda x: x.level))) AS lv FROM l),
 s AS (SELECT conv_id, turn, role, text, lv, trim(regexp_replace(lower(unnest(regexp_extract_all(
-  array_to_string(list_transform(list_filter(ls, lambda x: x.level = lv), lambda x: x.content), ' '), '[^.!?]+'))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS s FROM l, (VALUES (0), (1)) v(lv)),
-h AS (SELECT a.conv_id, a.turn, a.role, a.text, b.turn AS source, count(DISTINCT a.s) AS hits FROM s a JOIN s b
-  ON a.lv = 1 AND b.lv = 0 AND a.s = b.s AND a.s <> '' AND a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY ALL),
-b AS (SELECT conv_id, turn, role, text, arg_max(source, (hits, source)) AS source FROM h GROUP BY ALL),
+  array_to_string(list_transform(list_filter(ls, lambda x: x.level = lv), lambda x: x.content), ' '), '[^.!?]+'))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS s FROM v),
+h AS (SELECT a.conv_id, a.turn, a.role, a.text, a.lv, b.turn AS source, count(DISTINCT a.s) AS hits FROM s a JOIN s b
+  ON a.lv > 0 AND b.lv = 0 AND a.s = b.s AND a.s <> '' AND a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY ALL),
+g AS (SELECT conv_id, turn, role, text, lv, arg_max(source, (hits, source)) AS source FROM h GROUP BY ALL),
+b AS (SELECT conv_id, turn, role, text, arg_min(source, lv) AS source FROM g GROUP BY ALL),
 f AS (SELECT o.conv_id, position, quoted, '<|' || coalesce(o.role, '') || '|>' || CASE WHEN source IS NOT NULL AND source IS DISTINCT FROM previous THEN '<|answers ' || source || '|>' ELSE '' END
   || chr(10) || own || '<|end|>' AS line FROM o LEFT JOIN b ON o.conv_id = b.conv_id AND o.turn = b.turn AND o.role = b.role AND o.text = b.text)
 SELECT conv_id, position // 64 AS part, count(*) AS messages, count(*) FILTER (quoted) AS quoting, md5(string_agg(line, chr(10) ORDER BY position)) AS chat_md5

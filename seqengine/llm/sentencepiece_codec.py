@@ -159,7 +159,8 @@ def encode_column(documents: DataFrame, model: str, text: str = "text", ids: str
 def encode_checked(documents: DataFrame, model: str) -> DataFrame:
     """documents with ids (array of int), n_tokens and lossless: whether the ids decode to the text.
 
-    Columns that have these names already are replaced; a null text is empty.
+    A text that holds the model's own space mark, U+2581, comes back with a
+    space in its place and isn't lossless.  Columns that have these names already are replaced; a null text is empty.
     """
     documents = documents.drop("ids", "n_tokens", "lossless")
 
@@ -170,7 +171,7 @@ def encode_checked(documents: DataFrame, model: str) -> DataFrame:
         for batch in batches(stream):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             found = [codec.encode(x) for x in texts]
-            same = [codec.decode(ids.tolist()) == x.replace(MARK, " ") for ids, x in zip(found, texts)]
+            same = [codec.decode(ids.tolist()) == x for ids, x in zip(found, texts)]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
             more = [pa.ListArray.from_arrays(ends, values), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())]
@@ -195,7 +196,7 @@ def decode_digests(encoded: DataFrame, model: str) -> DataFrame:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = flat[ends[i] : ends[i + 1]]
                 back = codec.decode(ids.tolist())
-                rows.append((len(ids), zlib.crc32(ids.astype("<i4").tobytes()), len(back), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == (text or "").replace(MARK, " ")))
+                rows.append((len(ids), zlib.crc32(ids.astype("<i4").tobytes()), len(back), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == (text or "")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["row", "n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256", "lossless"])
 

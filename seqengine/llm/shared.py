@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +14,36 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    It is read from the session.  Only where the setting is missing, as in tests
-    on one machine, a temporary folder is made and set.
+    It is read from the session.  Only where the setting is missing on one
+    machine, as in tests, a temporary folder is made and set; on a cluster a
+    missing setting raises.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="seqengine-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def intermediates() -> Iterator[None]:
+    """Deletes, at the end, the tables that operators wrote inside it: collect or write their results before."""
+    mine: list[DataFrame] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for table in mine:
+            discard(table)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again.
 
@@ -38,6 +60,8 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
         conf.set(free, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
+    for scope in _scopes:
+        scope.append(out)
     return out
 
 

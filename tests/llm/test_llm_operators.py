@@ -131,6 +131,8 @@ def test_sentencepiece(hostile, empty):
     rows = done.select("text", "n_tokens", "lossless").collect()
     assert all(r["lossless"] for r in rows) and {r["n_tokens"] for r in rows if not r["text"]} == {0}
     assert sentencepiece_codec.encode_checked(empty, model).count() == 0
+    marked = hostile.where("doc_id = 7").withColumn("text", F.lit("a \u2581b"))
+    assert not sentencepiece_codec.encode_checked(marked, model).first()["lossless"]
     digests = sentencepiece_codec.decode_digests(sentencepiece_codec.encode_column(hostile, model), model)
     assert digests.where("lossless").count() == hostile.count()
 
@@ -161,6 +163,45 @@ def test_deeper_quotes_link_messages(spark):
     assert "<|b|><|answers 0|>\nbare<|end|>" in quotation.chat_parts(messages).first()["chat"]
 
 
+def test_quoted_corpus_equals_sql(spark, tmp_path):
+    """Random threads in which messages quote earlier ones, to any depth, in part and in other case."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(8)
+    said = ["Rain is due.", "Take the bus!", "Why not?", "It was fine; really.", "Yes.", "Bring bread, please.", "No way."]
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(rng.randint(2, 14)):
+            lines = []
+            for _ in range(rng.randint(0, 2) if texts else 0):
+                lines += [f"{'>' * rng.randint(1, 2)} {line.upper() if rng.random() < 0.3 else line}" for line in rng.choice(texts).split("\n")]
+            lines.append(" ".join(rng.choices(said, k=rng.randint(1, 3))) + (f" Note {conv} {turn}." if rng.random() < 0.7 else ""))
+            texts.append("\n".join(lines))
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), texts[-1]))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = queries.op2_quotation_linking(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['op2_quotation_linking']})").fetchall()
+    assert sorted(want) == sorted(map(tuple, got.select(columns).collect()))
+    assert quotation.linked_messages(spark.read.parquet(f"{tmp_path}/conversations.parquet")).where("jumps").count() > 10
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path as Folder
+
+    from seqengine.llm import shared
+
+    with shared.intermediates():
+        table = shared.written(spark.range(3).toDF("x"), "short")
+        assert table.count() == 3
+    assert not Folder(table.written_path.removeprefix("file://")).exists()
+
+
 def test_long_conversations_are_placed_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(quotation, "CHUNK", 4)
     df = spark.range(30).selectExpr("1L as conv_id", "id * 2 as turn", "'user' as role", "cast(id as string) as text")
