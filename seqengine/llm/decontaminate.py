@@ -107,15 +107,14 @@ class Index:
         top = np.maximum.reduceat(self.impacts, start) if n else np.zeros(0)
         self.top = (top * 1.00001).astype(np.float32)  # a bound stays one in single precision
         self.block_at = np.searchsorted(owner, np.arange(len(self.terms) + 1))
+        # The same entries by block: their terms, and where their postings begin and end.
+        self.entry = np.lexsort((owner, self.block))
+        self.entry_term = owner[self.entry]
+        self.entry_at = np.searchsorted(self.block[self.entry], np.arange(self.blocks + 1))
+        self.begin, self.end = start, np.r_[start[1:], len(self.items)]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.terms >> np.uint64(44)).astype(np.int64)] = True
 
-    def largest(self, term: int, block: int) -> float:
-        """The largest impact of a term in a block, 0 where it has none."""
-        a, b = self.block_at[term], self.block_at[term + 1]
-        k = a + int(np.searchsorted(self.block[a:b], block))
-        return float(self.top[k]) if k < b and self.block[k] == block else 0.0
-
     def lookup(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are index terms, and their terms."""
         at = np.flatnonzero(self.seen[(word >> np.uint64(44)).astype(np.int64)])
@@ -130,37 +129,38 @@ class Index:
         of them whose block maxima reach `least` fixes the pivot, and cursors
         before it skip there at once.
         """
-        low, high = block * BLOCK, (block + 1) * BLOCK
-        cursors = []
-        for t in terms:
-            top = self.largest(int(t), block)
-            if top:
-                a, b = self.at[t], self.at[t + 1]
-                at = a + np.searchsorted(self.items[a:b], low)
-                cursors.append([int(self.items[at]), int(at), a + int(np.searchsorted(self.items[a:b], high)), top])
+        a, b = self.entry_at[block], self.entry_at[block + 1]
+        at = a + np.searchsorted(self.entry_term[a:b], terms)
+        at = at[at < b][self.entry_term[at[at < b]] == terms[at < b]]
+        entry = self.entry[at]
+        high = (block + 1) * BLOCK
+        cursors = []  # the item, the place among the term's items of the block, these items, their impacts, the bound
+        for x, y, top in zip(self.begin[entry].tolist(), self.end[entry].tolist(), self.top[entry].tolist()):
+            items = self.items[x:y].tolist()
+            cursors.append([items[0], 0, items, x, top])
         out = []
         while cursors:
-            cursors.sort()
+            cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, None
-            for item, _, _, top in cursors:
-                bound += top
+            for c in cursors:
+                bound += c[4]
                 if bound >= least:
-                    pivot = item
+                    pivot = c[0]
                     break
             if pivot is None:
                 break
             if cursors[0][0] == pivot:
-                score = sum(float(self.impacts[c[1]]) for c in cursors if c[0] == pivot)
+                score = sum(float(self.impacts[c[3] + c[1]]) for c in cursors if c[0] == pivot)
                 if score >= least - 1e-9:
                     out.append((pivot, score))
                 go = pivot + 1
             else:
                 go = pivot
             for c in cursors:
-                if c[0] < go:
-                    c[1] += int(np.searchsorted(self.items[c[1] : c[2]], go))
-                    c[0] = int(self.items[c[1]]) if c[1] < c[2] else high
-            cursors = [c for c in cursors if c[1] < c[2]]
+                while c[0] < go:
+                    c[1] += 1
+                    c[0] = c[2][c[1]] if c[1] < len(c[2]) else high
+            cursors = [c for c in cursors if c[1] < len(c[2])]
         return out
 
     def candidates(self, word: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:

@@ -28,8 +28,10 @@ PER_LANGUAGE = 400
 FEATURES = 1 << 16
 SWITCH = 6.0
 CLIP = 12.0
-CACHE_BYTES = 24 << 20  # of the tokens that a task keeps, with `ENTRY` for each
+CACHE_BYTES = 32 << 20  # of the tokens that a task keeps, with `ENTRY` for each
 ENTRY = 200
+BATCH = 2 << 20  # bytes of text whose paths advance together
+FEW = 16
 FIT_CHARS = 20_000  # of a text that the fit reads
 
 #: First code point, last code point and name of script ranges.
@@ -63,6 +65,8 @@ def letter_runs(text: str) -> list[str]:
 
 def script_of(word: str) -> str:
     """The script of most of a word's letters, the earliest range on a tie."""
+    if word and "A" <= min(word) and max(word) <= "\u024f":
+        return "latin"
     found = Counter(next((name for first, last, name in SCRIPTS if first <= ord(c) <= last), "other") for c in word)
     return max(found, key=found.__getitem__) if found else "other"
 
@@ -168,7 +172,9 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """The best state path of each (steps, states) score matrix; a switch costs `switch`.
 
     Sequences advance together, the longest first, so a step is one array
-    operation over those that still run.  Ties take the lower state and stay.
+    operation over those that still run; once those have at most `FEW` values,
+    each goes on by itself.  Sums are in double precision either way.  Ties take
+    the lower state and stay.
     """
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     length = np.array([len(scores[k]) for k in order])
@@ -177,15 +183,16 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         return out
     states = scores[order[0]].shape[1]
     start = np.r_[0, np.cumsum(length)]
-    flat = np.concatenate([scores[k] for k in order])
+    flat = np.concatenate([scores[k] for k in order]).astype(float)
     came = np.zeros(flat.shape, np.int16)
     active = np.searchsorted(-length, -np.arange(length[0]), "left")  # sequences longer than t
+    alone = max(1, int(np.searchsorted(-active * states, -FEW)))  # the first step that each takes by itself
     best = flat[start[: active[0]]].copy()
     own = np.arange(states, dtype=np.int16)[None, :]
-    for t in range(1, length[0]):
+    for t in range(1, min(alone, length[0])):
         best = best[: active[t]]
         top = best.argmax(axis=1)
-        other = best[np.arange(len(best)), top] - np.float32(switch)
+        other = best[np.arange(len(best)), top] - switch
         jump = other[:, None] > best
         at = start[: active[t]] + t
         came[at] = np.where(jump, top[:, None].astype(np.int16), own)
@@ -197,7 +204,9 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     label = np.zeros(len(flat), np.int64)
     some = length > 0
     state[some] = flat[(start[1:] - 1)[some]].argmax(axis=1)
-    for t in range(length[0] - 1, -1, -1):
+    for k in range(int(active[alone]) if alone < length[0] else 0):
+        state[k] = _alone(flat[start[k] + alone : start[k + 1]], best[k], switch, label[start[k] + alone : start[k + 1]], came[start[k] + alone])
+    for t in range(min(alone, length[0]) - 1, -1, -1):
         n = active[t]
         ends = length[:n] - 1 == t
         at = start[:n] + t
@@ -210,6 +219,24 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     return out
 
 
+def _alone(rows: np.ndarray, before: np.ndarray, switch: float, label: np.ndarray, came: np.ndarray) -> int:
+    """Go on with one sequence from its values before: its labels, the way into its first row, and the state there."""
+    best, ways = before.tolist(), []
+    for row in rows.tolist():
+        high = max(best)
+        top, other = best.index(high), high - switch
+        ways.append([top if other > x else k for k, x in enumerate(best)])
+        best = [(other if other > x else x) + y for x, y in zip(best, row)]
+    at = best.index(max(best))
+    path = [at]
+    for way in ways[:0:-1]:
+        at = way[at]
+        path.append(at)
+    label[:] = path[::-1]
+    came[:] = ways[0]
+    return path[-1]
+
+
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most `per_language` documents of each language.
 
@@ -253,7 +280,7 @@ def _predict(model: Model, spans: bool):
         from seqengine.llm.wordhash import batches
 
         labeller = Labeller(model)
-        for batch in batches(stream):
+        for batch in batches(stream, limit=BATCH):
             found = [] if spans else None
             pred, score = _judge(labeller, batch.column(1).to_pylist(), found)
             arrays = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
@@ -294,7 +321,7 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> D
         from seqengine.llm.wordhash import batches
 
         labeller = Labeller(model)
-        for batch in batches(stream):
+        for batch in batches(stream, limit=BATCH):
             verdict = _judge(labeller, batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(*verdict)], pa.bool_()))
 
