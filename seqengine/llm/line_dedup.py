@@ -11,8 +11,10 @@ equal sets are the extreme case.  Lines without tokens are never removed.
    n - ceil(0.8 n) + 1 tokens is kept.  Two sets at 0.8 share a prefix token.
 3. Postings of prefix tokens are joined under the length filter (sizes within
    0.8, by size class), the positional filter (the overlap still possible from
-   the shared prefix places) and a parity filter (the bits in which two 64-bit
-   parity sketches differ are at most the symmetric difference allowed).
+   the shared prefix places) and a parity filter (the bits in which two parity
+   sketches differ are at most the symmetric difference allowed).  A sketch has
+   a bit or more a token up to 1024, so it tells long sets apart as it does short ones.
+   Tokens are dealt in passes, so the shuffle of a part of them is on disk at once.
 4. First each list's earliest class of a size class meets the others, one pair
    a posting; then the classes that this did not remove meet all earlier ones.
    Full token sets verify every pair, so a large group of near copies costs
@@ -32,7 +34,8 @@ from seqengine.llm.shared import discard, written
 
 BUCKETS = 1 << 16
 LEVELS_AN_OCTAVE = 8
-PASSES, PASS_PAIRS = 8, 400_000  # pairs are verified in up to so many passes of about this size or more
+PASSES, PASS_PAIRS, PASS_POSTINGS = 8, 400_000, 4_000_000  # pairs are verified, and postings joined, in up to so many passes of about this size or more
+WIDEST = 16  # longs of the widest sketch
 LEAST_TOKENS = 4  # below this no set reaches 0.8 without being equal
 
 #: Blank-separated tokens of a line as a sorted array of distinct hashes.
@@ -51,7 +54,7 @@ def token_levels(documents: DataFrame) -> list[int]:
 
 
 def _lines(documents: DataFrame, levels: list[int]) -> DataFrame:
-    """Every line with tokens: doc, line, its set's keys k1 and k2, size n, parity sketch and prefix.
+    """Every line with tokens: doc, line, its set's keys k1 and k2, size n, parity sketch (wide, and folded to a long) and prefix.
 
     A prefix token is its level above 56 bits of its hash, so that plain order
     of longs is the rarity order.
@@ -62,40 +65,50 @@ def _lines(documents: DataFrame, levels: list[int]) -> DataFrame:
     table = f"from_json('{levels}', 'array<bigint>')"
     ranked = F.expr(f"slice(sort_array(transform(tokens, t -> shiftleft(get({table}, cast(pmod(t, {BUCKETS}) as int)), 56) | (t & 72057594037927935))), 1, n - (4 * n + 4) div 5 + 1)")
     parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast((t >> 20) & 63 as int)))")
+    # `most` + 1 longs, a power of two; the long of a token is named by the bits above those that name its bit.
+    tokens = tokens.withColumn("most", F.expr(f"least({WIDEST}L, cast(pow(2, ceil(log2(n / 64))) as bigint)) - 1L"))
+    wide = F.expr("transform(sequence(0L, most), k -> aggregate(tokens, 0L, (a, t) -> if(((t >> 26) & most) = k, a ^ shiftleft(1L, cast((t >> 20) & 63 as int)), a)))")
     several = F.col("n") >= LEAST_TOKENS
-    return tokens.select(
-        "doc", "line", F.expr(_KEY.format(tokens="tokens")).alias("k1"), F.xxhash64(F.lit(6), "tokens").alias("k2"), "n", F.when(several, parity).alias("parity"), F.when(several, ranked).alias("prefix")
-    )
+    keys = [F.expr(_KEY.format(tokens="tokens")).alias("k1"), F.xxhash64(F.lit(6), "tokens").alias("k2")]
+    return tokens.select("doc", "line", *keys, "n", F.when(several, parity).alias("parity"), F.when(F.col("n") > 64, wide).alias("wide"), F.when(several, ranked).alias("prefix"))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """One row a token set, numbered by first position: id, k1, k2, doc, line, n, parity, prefix.
+    """One row a token set, numbered by first position: id, k1, k2, doc, line, n, parity, wide, prefix.
 
     The range exchange puts first positions in order, so ids ascend with them.
     """
-    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    ordered = grouped.select("first.doc", "first.line", "k1", "k2", "n", "parity", "prefix").repartitionByRange("doc", "line", "k1").sortWithinPartitions("doc", "line", "k1")
+    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("first"), *[F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")])
+    ordered = grouped.select("first.doc", "first.line", "k1", "k2", "n", "parity", "wide", "prefix").repartitionByRange("doc", "line", "k1").sortWithinPartitions("doc", "line", "k1")
     return ordered.withColumn("id", F.monotonically_increasing_id())
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """A row a prefix token: token (31 bits of its hash), place, size class and the class's columns."""
-    rows = classes.where("prefix is not null").select("id", "n", "parity", "open", F.posexplode("prefix").alias("place", "t"))
+def _postings(classes: DataFrame, part: int, parts: int) -> DataFrame:
+    """A row a prefix token of a pass: token (31 bits of its hash), place, size class and the class's columns."""
+    rows = classes.where("prefix is not null").select("id", "n", "parity", "wide", "open", F.posexplode("prefix").alias("place", "t"))
     token = F.expr("cast(t & 2147483647 as int)")
-    return rows.select(token.alias("token"), "id", "parity", F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(place, 1) | open").alias("packed"))
+    rows = rows.where((token % parts) == part) if parts > 1 else rows
+    return rows.select(token.alias("token"), "id", "parity", "wide", F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(place, 1) | open").alias("packed"))
 
 
 def _side(postings: DataFrame, side: str) -> DataFrame:
     """Postings with the packed columns apart, their names begun by `side`."""
-    columns = {"token": "token", "id": "id", "parity": "parity", "n": "cast(packed >> 32 as int)", "place": "cast((packed >> 1) & 2147483647 as int)", "open": "packed & 1"}
+    columns = {"token": "token", "id": "id", "parity": "parity", "wide": "wide", "n": "cast(packed >> 32 as int)", "place": "cast((packed >> 1) & 2147483647 as int)", "open": "packed & 1"}
     return postings.selectExpr(*(f"{e} as {side}{name}" for name, e in columns.items()))
 
 
+#: The bits in which two wide sketches differ, the wider one folded to the other's longs.
+_WIDE_BITS = (
+    "aggregate(sequence(0, least(size(xwide), size(ywide)) - 1), 0, (a, k) -> a + bit_count("
+    "aggregate(sequence(k, size(xwide) - 1, least(size(xwide), size(ywide))), 0L, (b, i) -> b ^ get(xwide, i))"
+    " ^ aggregate(sequence(k, size(ywide) - 1, least(size(xwide), size(ywide))), 0L, (b, i) -> b ^ get(ywide, i))))"
+)
 #: Length, positional and parity filters; the overlap needed is ceil(0.8 / 1.8 * (xn + yn)).
 _FILTERS = (
     "yid < xid and 5 * least(xn, yn) >= 4 * greatest(xn, yn)"
     " and least(xn - xplace, yn - yplace) >= (4 * (xn + yn) + 8) div 9"
     " and bit_count(xparity ^ yparity) * 9 <= xn + yn"
+    f" and (xwide is null or ywide is null or {_WIDE_BITS} * 9 <= xn + yn)"
 )
 
 
@@ -119,31 +132,55 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
     return reduce(DataFrame.unionAll, found)
 
 
+def _met(postings: DataFrame) -> DataFrame:
+    """Within the tokens' one exchange, each list's earliest class of a size class meets the others: xid, yid."""
+    dealt = _side(postings.repartition("token"), "x").withColumn("span", F.expr("cast(floor(log(xn) / log(1.25D)) as int)"))
+    hub = F.first(F.struct("xid", "xparity", "xwide", "xn", "xplace")).over(W.partitionBy("xtoken", "span").orderBy("xid").rowsBetween(W.unboundedPreceding, 0))
+    met = dealt.withColumn("y", hub).select("*", *[F.col(f"y.x{c}").alias(f"y{c}") for c in ("id", "parity", "wide", "n", "place")])
+    return met.where(_FILTERS).select("xid", "yid").distinct()
+
+
+def _paired(postings: DataFrame) -> DataFrame:
+    """The open classes of each list meet all earlier ones: xid, yid."""
+    both = _side(postings, "x").join(_side(postings, "y").hint("merge"), F.expr(f"xtoken = ytoken and xopen = 1 and {_FILTERS}"))
+    return both.select("xid", "yid").distinct()
+
+
+def _once(parts: list[DataFrame], name: str) -> DataFrame:
+    """The distinct pairs of tables of `written`, which are deleted."""
+    if len(parts) == 1:
+        return parts[0]
+    out = written(reduce(DataFrame.unionAll, parts).distinct(), name)
+    for part in parts:
+        discard(part)
+    return out
+
+
 def removed_lines(documents: DataFrame) -> DataFrame:
     """The lines to remove, from documents(doc, text): doc, line, k1."""
     lines = written(_lines(documents, token_levels(documents)), "lines")
     classes = written(_classes(lines), "classes")
 
-    # Within the tokens' one exchange, each list's earliest class of a size class meets the others.
-    dealt = _side(_postings(classes.withColumn("open", F.lit(1))).repartition("token"), "x").withColumn("span", F.expr("cast(floor(log(xn) / log(1.25D)) as int)"))
-    hub = F.first(F.struct("xid", "xparity", "xn", "xplace")).over(W.partitionBy("xtoken", "span").orderBy("xid").rowsBetween(W.unboundedPreceding, 0))
-    met = dealt.withColumn("y", hub).select("*", *[F.col(f"y.x{c}").alias(f"y{c}") for c in ("id", "parity", "n", "place")])
-    star = met.where(_FILTERS).select("xid", "yid").distinct()
-    star = written(star, "star")
+    postings = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    passes = min(PASSES, 1 + max(0, postings) // PASS_POSTINGS)
+    fresh = classes.withColumn("open", F.lit(1))
+    star = _once([written(_met(_postings(fresh, k, passes)), "star") for k in range(passes)], "star")
     gone = _verified(documents, classes, star)
 
     marked = classes.join(gone.select("id", F.lit(0).alias("o")).hint("merge"), "id", "left").withColumn("open", F.coalesce("o", F.lit(1)))
-    postings = _postings(marked)
-    rest = _side(postings, "x").join(_side(postings, "y").hint("merge"), F.expr(f"xtoken = ytoken and xopen = 1 and {_FILTERS}")).select("xid", "yid").distinct()
-    rest = written(rest.join(star, ["xid", "yid"], "left_anti"), "rest")
-    late = _verified(documents, classes, rest)
+    marked = written(marked.select("id", "n", "parity", "wide", "open", "prefix"), "marked")
+    rest = _once([written(_paired(_postings(marked, k, passes)), "rest") for k in range(passes)], "rest")
+    discard(marked)
+    new = written(rest.join(star, ["xid", "yid"], "left_anti"), "new")
+    discard(rest)
+    late = _verified(documents, classes, new)
 
     removed = gone.unionAll(late).withColumn("out", F.lit(True))
     info = classes.select("id", "k1", "k2", F.col("doc").alias("fd"), F.col("line").alias("fl")).join(removed, "id", "left").drop("id")
     # An occurrence is kept if it is its class's first and the class stays.
     out = lines.select("doc", "line", "k1", "k2").join(info.hint("merge"), ["k1", "k2"]).where("out or doc <> fd or line <> fl").select("doc", "line", "k1").distinct()
     out = written(out, "removed")
-    for table in (star, rest, classes, lines):
+    for table in (star, new, classes, lines):
         discard(table)
     return out
 
@@ -166,8 +203,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.col("text").cast("string").alias("text"), place.alias("__doc"))
     joined = whole.hint("merge").join(gone, F.col("__doc") == F.col("__key"), "left")
     key = _KEY.format(tokens=_TOKENS.format(line="c"))
-    kept = f"filter(__lines, (c, i) -> trim(c) = '' or not array_contains(__gone, struct(i as line, {key} as k1)))"
-    split = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__kept", F.expr(f"if(__gone is null, __lines, {kept})"))
+    # The line's number is looked up first, so that only lines at such a number are cut to tokens again.
+    kept = f"filter(__lines, (c, i) -> trim(c) = '' or not array_contains(__at, i) or not array_contains(__gone, struct(i as line, {key} as k1)))"
+    split = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__at", F.col("__gone.line")).withColumn("__kept", F.expr(f"if(__gone is null, __lines, {kept})"))
     results = {
         "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")),
         "n_lines": F.coalesce(F.expr("size(filter(__lines, c -> trim(c) <> ''))"), F.lit(0)).cast("long"),

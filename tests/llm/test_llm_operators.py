@@ -62,6 +62,26 @@ def test_line_dedup(hostile, empty):
     assert by[3].count(("", 1, 1)) == 2 and by[8] == [(f"Start. {PASSAGE}", 2, 1)] or by[8][0][2] == 2
 
 
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    """Long lines of common words: few pairs reach the full sets, in several passes too, and the result is brute force's."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for d in range(240):
+        tokens = [f"w{k}" for k in rng.choice(1500, int(rng.integers(90, 400)), replace=False)]
+        if d % 12 == 11:  # nearly an earlier line, on either side of 0.8
+            old = rows[int(rng.integers(0, d))][1].split(" ")
+            tokens = [f"n{d}x{k}" if k < len(old) * (0.05 if d % 24 == 11 else 0.15) else w for k, w in enumerate(old)]
+        rows.append((d, " ".join(tokens)))
+    seen: list[int] = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda documents, classes, pairs: [seen.append(pairs.count()), verified(documents, classes, pairs)][1])
+    monkeypatch.setattr(line_dedup, "PASS_POSTINGS", 4000, raising=False)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(t.split(" ")) for _, t in rows]
+    want = {d: int(any(5 * len(s & e) >= 4 * len(s | e) for e in sets[:d])) for d, s in enumerate(sets)}
+    assert got == want and 0 < sum(want.values()) < 20 and sum(seen) <= 60
+
+
 def test_substring_dedup(hostile, empty):
     got = {r["doc_id"]: r for r in substring_dedup.repeating_documents(hostile).collect()}
     assert set(got) == {6, 7, 8} and all(r["longest_words"] >= 70 and r["class_id"] == 6 and r["links"] == 2 for r in got.values())
