@@ -9,11 +9,15 @@
    the rarest `shared - matches + 1` values are merged, as two classes with
    that many common values have one of these in common.
 4. Classes that meet under a prefix value form a coarse group, which is merged
-   block against block, so no task holds more than two blocks.  Within a block
-   pair the collisions of each pair are counted along the postings; pairs with
-   `matches` or more stay, and of these the full shingle sets decide
-   100 * intersection >= threshold * union.  A block pair returns a spanning
-   forest of its links, never all pairs.
+   block against block, so no task holds more than two blocks; in a group of
+   several blocks these hold sets of like sizes, and only blocks whose sizes
+   permit the threshold meet.  Signatures alone meet so: the collisions of each
+   pair are counted along the postings, and only texts with a pair of `matches`
+   or more follow, whose full shingle sets decide 100 * intersection >=
+   threshold * union.  First blocks meet themselves; then of what links don't
+   join yet the best pair of each two components in a block pair is tried, and
+   last all pairs still apart.  A block pair returns a spanning forest of its
+   links, never all pairs.
 5. Connected components of the links give component_id.
 
 `matches` is the largest count that a pair at the threshold misses with a
@@ -224,13 +228,71 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85) -> D
     )
 
 
+def _outstanding(percent: int, best: bool):
+    """Of one block pair, by signatures alone, the rows that have a pair to verify: of two roots, with enough collisions, and with `best` the first such pair of two roots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("rep", "ascending")])
+        side, root = table.column("side").to_numpy(), table.column("root").to_numpy()
+        count = collisions(np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES))
+        near = (count >= matches_for(percent)) & (root[:, None] != root[None, :])
+        if side[0] != side[-1]:
+            near &= side[:, None] != side[None, :]
+        i, j = np.nonzero(np.triu(near, 1))
+        if best:
+            order = np.argsort(-count[i, j], kind="stable")
+            i, j = i[order], j[order]
+            roots = np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j])], 1)
+            first = np.unique(roots, axis=0, return_index=True)[1]
+            i, j = i[first], j[first]
+        return table.take(pa.array(np.unique(np.concatenate([i, j]))))
+
+    return run
+
+
+_PAIR = ["component", "low", "high", "x", "y"]
+
+
+def _members(coarse: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The coarse groups' classes with their block, its size span, and the blocks of that span (blocks), of the next (up) and of the one before (down)."""
+    groups = coarse.groupBy("component").agg(F.count("*").alias("n"))
+    rows = coarse.join(groups, "component").join(classes.select(F.col("rep").alias("id"), "signature", "size"), "id")
+    # Sets that reach the threshold are in one span or in two that are next to each other.
+    span = F.expr(f"if(n <= {BLOCK}, 0L, cast(floor(log(size) / (log(100D / {percent}) + 1e-6D)) as bigint))")
+    rows = rows.select("component", F.col("id").alias("rep"), "signature", span.alias("span"))
+    bins = rows.groupBy("component", "span").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    beside = lambda by, name: bins.select("component", (F.col("span") + by).alias("span"), F.col("blocks").alias(name))
+    bins = bins.join(beside(-1, "up"), ["component", "span"], "left").join(beside(1, "down"), ["component", "span"], "left").na.fill(0, ["up", "down"])
+    return rows.join(bins, ["component", "span"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+
+
+#: The block pairs of a row but its block's with itself: in its span, with the next span and with the one before.
+_OTHERS = """concat(
+    transform(filter(sequence(0L, blocks - 1), o -> o <> block), o -> struct(span as low, span as high, least(block, o) as x, greatest(block, o) as y, cast(block > o as int) as side)),
+    if(up > 0, transform(sequence(0L, up - 1), o -> struct(span as low, span + 1 as high, block as x, o as y, 0 as side)), array()),
+    if(down > 0, transform(sequence(0L, down - 1), o -> struct(span - 1 as low, span as high, o as x, block as y, 1 as side)), array()))"""
+
+
 def _links(documents: DataFrame, coarse: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) within the coarse groups, block against block."""
-    groups = coarse.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    member = coarse.join(groups, "component").join(classes.select(F.col("rep").alias("id"), "signature"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # A block meets itself and, as one side of a pair, every other block of its group.
-    pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    member = member.select(F.col("id").alias("rep"), "signature", "component", "block", pair.alias("other")).select(
-        "rep", "signature", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
-    )
-    return documents.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(member, "rep").groupBy("component", "x", "y").applyInArrow(_verify(size, percent), "a long, b long")
+    texts = documents.select(F.col("doc_id").alias("rep"), "text")
+    member = written(_members(coarse, classes, percent), "members")
+
+    def linked(rows: DataFrame, best: bool) -> DataFrame:
+        rows = rows.select("rep", "signature", "root", "side", *_PAIR)
+        some = rows.groupBy(*_PAIR).applyInArrow(_outstanding(percent, best), rows.schema).drop("root")
+        some = written(some, "outstanding")
+        found = texts.hint("merge").join(some, "rep").groupBy(*_PAIR).applyInArrow(_verify(size, percent), "a long, b long")
+        found = written(found, "links")
+        discard(some)
+        return found
+
+    itself = member.select("*", F.col("span").alias("low"), F.col("span").alias("high"), F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"))
+    links = linked(itself.withColumn("root", F.col("rep")), False)
+    wide = member.where("blocks > 1 or up > 0 or down > 0")
+    for best in (True, False) if wide.limit(1).count() else ():
+        roots = components(links).withColumnRenamed("id", "rep")
+        rooted = wide.join(roots.withColumnRenamed("component", "linked"), "rep", "left").withColumn("root", F.coalesce("linked", "rep"))
+        links = links.unionAll(linked(rooted.select("rep", "signature", "root", "component", F.inline(F.expr(_OTHERS))), best))
+    discard(member)
+    return links

@@ -49,6 +49,39 @@ def test_near_dedup(hostile, empty):
     assert sum(r["doc_id"] is None for r in got) == 2 and all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
 
 
+def test_near_dedup_sends_texts_of_candidates_alone(spark, monkeypatch):
+    """In a coarse group of all texts, in blocks of 8, only texts with a candidate follow their signatures, and the classes are brute force's."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for d in range(70):
+        text = [f"w{k}" for k in rng.integers(0, 10**6, int(rng.integers(60, 400)))]
+        if d % 7 == 6:
+            text = [*rows[d - int(rng.integers(1, 6))][1].split(" "), f"end{d}"]
+        rows.append((d, " ".join(text)))
+    sent: list[int] = []
+    keep, join = near_dedup.written, near_dedup.components
+
+    def written(df, name, **options):
+        out = keep(df, name, **options)
+        sent.extend([out.count()] * (name == "outstanding"))
+        return out
+
+    everyone = spark.range(len(rows)).select("id", F.lit(0).cast("long").alias("component"))
+    calls: list[int] = []
+    monkeypatch.setattr(near_dedup, "written", written)
+    monkeypatch.setattr(near_dedup, "components", lambda edges: [calls.append(1), everyone if len(calls) == 1 else join(edges)][1])
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (words(t) for _, t in rows)]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) == 60
+    assert 20 <= sum(sent) <= 60  # with signatures and texts together each text was sent once a block
+
+
 def test_line_dedup(hostile, empty):
     got = line_dedup.dedup_lines(hostile)
     assert set(got.columns) == {*hostile.columns, "n_lines", "n_removed"} and line_dedup.dedup_lines(empty).count() == 0
