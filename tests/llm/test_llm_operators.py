@@ -139,6 +139,18 @@ def test_substring_dedup_past_holders_of_its_parts(spark, between):
     assert {(r["doc_id"], r["other"], r["first_word"], r["words"]) for r in found} == {(1, 999, 30, 60), (999, 1, 30, 60)}
 
 
+def test_substring_dedup_of_an_edited_passage_past_holders_of_its_parts(spark):
+    """As above, and the last document has another word in the middle; its values are as hot, and no run of 50 words is equal."""
+    passage = [f"p{k}" for k in range(60)]
+    held = lambda d, part: (d, " ".join([*(f"x{d}_{k}" for k in range(30)), *part, *(f"y{d}_{k}" for k in range(30))]))
+    parts = [passage[:45], passage[15:], [*passage[:30], "new", *passage[31:45]], [*passage[15:30], "new", *passage[31:]]]
+    rows = [held(1, passage), *(held(d, parts[d % 4]) for d in range(2, 402)), held(999, [*passage[:30], "new", *passage[31:]])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = substring_dedup.repeated_passages(documents).collect()
+    assert {(1, 999, 30, 60), (999, 1, 30, 60)} <= {(r["doc_id"], r["other"], r["first_word"], r["words"]) for r in found}
+    assert {r["doc_id"]: r["class_id"] for r in substring_dedup.repeating_documents(documents).collect() if r["doc_id"] in (1, 999)} == {1: 1, 999: 1}
+
+
 def test_token_segments(hostile, empty):
     path = P.path("byte_bpe_50k.json")
     got = token_codes.read_documents(token_codes.token_segments(hostile, path, P.PATTERN)).collect()
