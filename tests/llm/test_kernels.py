@@ -154,6 +154,58 @@ def test_inserted_clauses_within_the_similarity(length, inserted):
     assert ((40, length - 4, 30, length + inserted - 4) in substring_dedup.passages(two, one, whole_windows(one), 46)) == alike
 
 
+def test_runs_of_single_shingles_are_the_equal_runs():
+    rng = random.Random(4)
+    for _ in range(40):
+        a = np.array(rng.sample(range(30), 20))
+        b = np.array([rng.choice([int(x), 40 + k]) for k, x in enumerate(np.roll(a, rng.randrange(20)))] + [int(a[3])])
+        there = np.array([int(np.flatnonzero(a == x)[0]) if x in a else -1 for x in b])
+        want = substring_dedup.equal_runs(a.astype(np.uint64), b.astype(np.uint64), 4)
+        assert sorted(substring_dedup._single_runs(a, there, 4).tolist()) == sorted(want.tolist())
+    assert substring_dedup._single_runs(np.array([1, 2, 1]), np.array([0, -1]), 1) is None
+
+
+def test_forms_with_a_passage_are_hopeful():
+    """Pairs of forms in which verification finds a passage, with edits, parts in another order, wide gaps and repeats."""
+    rng, found = random.Random(5), 0
+    for _ in range(60):
+        base, forms = rng.sample(range(1, 900), 200), []
+        for _ in range(8):
+            at, one = rng.randrange(90), []
+            part = base[at : at + rng.randrange(46, 120)]
+            if rng.random() < 0.4:
+                cut = rng.randrange(len(part))
+                part = part[cut:] + part[:cut]
+            if rng.random() < 0.2:
+                part = part[:20] + part
+            edits = rng.choice([0, 0.01, 0.03, 0.1])
+            for x in part:
+                if rng.random() < edits:
+                    one += [rng.choice([0, rng.randrange(900, 950)])] * rng.choice([1, 5, 5, 90])
+                one += [x] * (rng.random() >= edits / 2)
+            forms.append(np.array(one))
+        sets = [np.unique(x[x > 0]) for x in forms]
+        table = substring_dedup._Forms(forms, sets, 1000)
+        for x, y in product(range(8), repeat=2):
+            a, b = substring_dedup._as_text(forms[x], 0), substring_dedup._as_text(forms[y], 1)
+            if substring_dedup.verified(a, b, [(0, len(b) - 1)], 46):
+                found += 1
+                assert len(table.hopeful(x, np.array([y]), 46))
+    assert found > 1000
+
+
+def test_forms_of_a_template_are_told_apart_without_verifying_each_pair(monkeypatch):
+    """80 filled forms share 26 words of each 36, which is no passage; fillings stand in two forms, in other slots; two forms are alike."""
+    slot = lambda d, k: f"{d // 2}_{(k // 36 + d % 2) % 5}_{k % 36}"
+    contexts = [shingled(" ".join(f"t{k}" if k % 36 < 26 else slot(d, k) for k in range(180))) for d in range(80)]
+    contexts.append(np.concatenate([contexts[7], shingled("another end than its")]))
+    calls, verified = [], substring_dedup.verified
+    monkeypatch.setattr(substring_dedup, "verified", lambda *x: calls.append(1) or verified(*x))
+    n = len(contexts)
+    assert substring_dedup.linked_contexts(np.arange(n), -1 - np.arange(n), contexts, 46) == [(7, 80)]
+    assert len(calls) < 100
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(3000))])
 def test_dac_reads_all_and_one(ids):
     reader = token_codes.DacReader(token_codes.dac_encode(np.array(ids, np.uint32)))
