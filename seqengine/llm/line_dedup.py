@@ -16,7 +16,8 @@ equal sets are the extreme case.  Lines without tokens are never removed.
    a bit or more a token up to 1024, so it tells long sets apart as it does short ones.
    Tokens are dealt in passes, so the shuffle of a part of them is on disk at once.
 4. First each list's earliest class of a size class meets the others, one pair
-   a posting; then the classes that this did not remove meet all earlier ones.
+   a posting; then the classes that this did not remove meet all earlier ones,
+   the smaller set of a pair by its first n - ceil(8 n / 9) + 1 tokens alone.
    Full token sets verify every pair, so a large group of near copies costs
    pairs in proportion to its lines, and no link that decides a removal is lost.
 """
@@ -105,7 +106,7 @@ _WIDE_BITS = (
 )
 #: Length, positional and parity filters; the overlap needed is ceil(0.8 / 1.8 * (xn + yn)).
 _FILTERS = (
-    "yid < xid and 5 * least(xn, yn) >= 4 * greatest(xn, yn)"
+    "yid <> xid and 5 * least(xn, yn) >= 4 * greatest(xn, yn)"
     " and least(xn - xplace, yn - yplace) >= (4 * (xn + yn) + 8) div 9"
     " and bit_count(xparity ^ yparity) * 9 <= xn + yn"
     f" and (xwide is null or ywide is null or {_WIDE_BITS} * 9 <= xn + yn)"
@@ -140,10 +141,16 @@ def _met(postings: DataFrame) -> DataFrame:
     return met.where(_FILTERS).select("xid", "yid").distinct()
 
 
+def _short(postings: DataFrame) -> DataFrame:
+    """The postings that the smaller set of a pair needs: at 0.8 they share 8 / 9 of its tokens, so its first n - ceil(8 n / 9) + 1."""
+    return postings.where("((packed >> 1) & 2147483647) <= (packed >> 32) - (8 * (packed >> 32) + 8) div 9")
+
+
 def _paired(postings: DataFrame) -> DataFrame:
-    """The open classes of each list meet all earlier ones: xid, yid."""
-    both = _side(postings, "x").join(_side(postings, "y").hint("merge"), F.expr(f"xtoken = ytoken and xopen = 1 and {_FILTERS}"))
-    return both.select("xid", "yid").distinct()
+    """The open classes of each list meet all earlier ones: xid, yid; x is the larger set, of equal ones the later."""
+    match = f"xtoken = ytoken and (yn < xn or yn = xn and yid < xid) and if(yid < xid, xopen, yopen) = 1 and {_FILTERS}"
+    both = _side(postings, "x").join(_side(_short(postings), "y").hint("merge"), F.expr(match))
+    return both.select(F.greatest("xid", "yid").alias("xid"), F.least("xid", "yid").alias("yid")).distinct()
 
 
 def _once(parts: list[DataFrame], name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on hostile tables, and the registered queries against brute force on the smallest tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -115,6 +116,25 @@ def test_line_dedup_of_long_lines(spark, monkeypatch):
     assert got == want and 0 < sum(want.values()) < 20 and sum(seen) <= 60
 
 
+def test_line_pairs_meet_by_the_short_prefix(spark):
+    """All pairs at 0.8, by force, are met though the smaller set has about half its postings; open ones are the later."""
+    rng, sets = random.Random(6), []
+    for g in range(40):
+        base = [f"b{g}_{k}" for k in range(rng.randrange(4, 60))]
+        for _ in range(6):
+            n = round(len(base) * rng.choice([0, 0.1, 0.2]))
+            sets.append(rng.sample(base, len(base) - n) + [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, round(len(base) * 0.1)]))])
+    documents = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(sets)], "doc long, text string")
+    classes = line_dedup._classes(line_dedup._lines(documents, line_dedup.token_levels(documents)))
+    number = {r["doc"]: r["id"] for r in classes.select("doc", "id").collect()}
+    want = {(number[y], number[x]) for y in number for x in range(y) if x in number and 5 * len(set(sets[x]) & set(sets[y])) >= 4 * len(set(sets[x]) | set(sets[y]))}
+    postings = line_dedup._postings(classes.withColumn("open", F.lit(1)), 0, 1)
+    assert len(want) > 100 and want <= {tuple(r) for r in line_dedup._paired(postings).collect()}
+    assert line_dedup._short(postings).count() < 0.75 * postings.count()
+    late = line_dedup._postings(classes.withColumn("open", F.when(F.col("id") % 2 == 0, 1).otherwise(0)), 0, 1)
+    assert {p for p in want if p[0] % 2 == 0} <= {tuple(r) for r in line_dedup._paired(late).collect()}
+
+
 def test_substring_dedup(hostile, empty):
     got = {r["doc_id"]: r for r in substring_dedup.repeating_documents(hostile).collect()}
     assert set(got) == {6, 7, 8} and all(r["longest_words"] >= 70 and r["class_id"] == 6 and r["links"] == 2 for r in got.values())
