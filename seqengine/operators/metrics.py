@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -48,23 +47,31 @@ def align(ref: str, hyp: str) -> list[tuple[str, int, int, int, int]]:
     """Chunks (event, ref first, ref end, hyp first, hyp end) of a least-cost alignment.
 
     From the end, a diagonal step comes before a deletion, and that before an
-    insertion; neighbouring steps of one event are one chunk.
+    insertion; neighbouring steps of one event are one chunk.  A row of costs is
+    kept as the bits of its differences.
     """
     n, m = len(ref), len(hyp)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
-    letters = np.array([ord(c) for c in hyp])
-    for i in range(1, n + 1):
-        best = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (letters != ord(ref[i - 1])))
-        row = np.minimum.accumulate(np.r_[i, best] - np.arange(m + 1)) + np.arange(m + 1)
-        cost[i] = row
+    places: dict[str, int] = {}
+    for k, c in enumerate(hyp):
+        places[c] = places.get(c, 0) | 1 << k
+    # Bit k of a number is column k + 1 of a row of costs: `same` tells where a cost equals the diagonal one before, `more` where it is one above that of the row before.
+    whole = (1 << m) - 1
+    up, down, rows = whole, 0, []  # where a cost is one above, one below that of the column before
+    for c in ref:
+        there = places.get(c, 0)
+        same = ((((there & up) + up) ^ up) | there | down) & whole
+        less, more = up & same, down | whole & ~(up | same)
+        rows.append((same, more))
+        ahead = more << 1 | 1
+        up, down = (less << 1 | ~(ahead | same)) & whole, ahead & same & whole
     steps = []
     i, j = n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
+        same, more = rows[i - 1] if i else (0, 0)
+        if i and j and (ref[i - 1] == hyp[j - 1] or not same >> j - 1 & 1):
             i, j = i - 1, j - 1
             steps.append(("equal" if ref[i] == hyp[j] else "substitute", i, i + 1, j, j + 1))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and (not j or more >> j - 1 & 1):
             i -= 1
             steps.append(("delete", i, i + 1, j, j))
         else:

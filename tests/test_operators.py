@@ -14,6 +14,7 @@ from seqengine.operators import planned as D
 from seqengine.operators import prep as P
 from seqengine.operators import score
 from seqengine.operators import signal as G
+from seqengine.plans.registry import QUERIES
 from seqengine.sources import io
 
 
@@ -246,3 +247,24 @@ def test_configs_and_summaries(tmp_path):
     assert io.read_summary(out) == {}
     io.write_summary({"b": 1, "a": 2}, out)
     assert list(io.read_summary(out)) == ["a", "b"]
+
+
+def test_alignment_of_long_strings_keeps_bits_alone():
+    import tracemalloc
+
+    ref = "abcdefghij" * 500
+    hyp = ref.replace("j", "x")[3:]
+    tracemalloc.start()
+    chunks = M.align(ref, hyp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(max(b - a, d - c) for e, a, b, c, d in chunks if e != "equal") == 503
+    assert peak < 40 << 20  # a table of costs has 100 MB
+
+
+def test_equal_pairs_are_aligned_once(spark, tmp_path):
+    names = spark.createDataFrame([("beech",)] * 5 + [("tree",)] * 3 + [(None,)], "p_name string")
+    names.write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["align_chars"](spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {("equal", 5 * 3 + 3 * 2), ("substitute", 5 * 2 + 3 * 2)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
