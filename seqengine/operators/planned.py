@@ -66,13 +66,14 @@ def continuity(features: Sequence[Column], weights: Sequence[float]) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
-def pair_statistics(pairs: DataFrame, pair: str = "pair", group: str = "writer", value: str = "score") -> DataFrame:
+def pair_statistics(pairs: DataFrame, pair: str = "pair", group: str = "writer", value: str = "score", times: str | None = None) -> DataFrame:
     """Count, group coverage, median and interquartile range of each pair.
 
-    Equal (pair, group, value) rows are counted before the shuffle; one weighted
+    A row stands for one pair, or for as many as its column `times` has.  Equal
+    (pair, group, value) rows are counted before the shuffle; one weighted
     percentile then reads the counts.
     """
-    small = pairs.groupBy(pair, group, value).agg(F.count("*").alias("n"))
+    small = pairs.groupBy(pair, group, value).agg((F.sum(times) if times else F.count("*")).alias("n"))
     out = small.groupBy(pair).agg(F.sum("n").alias("count"), F.size(F.collect_set(group)).cast("long").alias("coverage"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
     return out.select(pair, "count", "coverage", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 

@@ -578,9 +578,10 @@ _LETTERS = f"SELECT lang, label[i:i+1] AS pair, len(label)::DOUBLE AS score FROM
 def pair_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Bigrams of all words, with the word's length as score and the language as writer."""
     rows = labels(spark, folder).where(F.length("label") > 1)
+    rows = rows.groupBy("lang", "label").agg(F.count("*").alias("times"))  # a word is cut into bigrams once, however often it occurs
     places = F.transform(F.sequence(F.lit(1), F.length("label") - 1), lambda i: F.substring(F.col("label"), i, F.lit(2)))
-    pairs = rows.select("lang", F.explode(places).alias("pair"), F.length("label").cast("double").alias("score"))
-    return D.pair_statistics(pairs, group="lang").withColumn("iqr", six("iqr"))
+    pairs = rows.select("lang", F.explode(places).alias("pair"), F.length("label").cast("double").alias("score"), "times")
+    return D.pair_statistics(pairs, group="lang", times="times").withColumn("iqr", six("iqr"))
 
 
 @query(f"""WITH s AS (SELECT pair, count(*) AS count, count(DISTINCT lang) AS coverage, median(score) AS median FROM ({_LETTERS}) GROUP BY pair)

@@ -15,6 +15,7 @@ from seqengine.operators import planned as D
 from seqengine.operators import prep as P
 from seqengine.operators import score
 from seqengine.operators import vocab as V
+from seqengine.plans.registry import QUERIES
 from seqengine.sources import io
 
 WORDS = ["the", "then", "there", "other", "mother", "Straße", "straßen", "weather", "whether", "he, she", "that's", "über", "übers"]
@@ -193,3 +194,17 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM explode_tokens(array(7, 8))").collect()] == [(0, 7), (1, 8)]
     assert spark.sql("SELECT * FROM explode_tokens(cast(null AS array<int>))").count() == 0
     assert {tuple(r) for r in spark.sql("SELECT * FROM align_chars('abc', 'axc')").collect()} == {("equal", "a", "a"), ("substitute", "b", "x"), ("equal", "c", "c")}
+
+
+def test_pair_statistics_of_counted_rows(spark):
+    rows = [("ab", "w1", 2.0, 3), ("ab", "w2", 5.0, 1), ("ab", "w2", 7.0, 4), ("cd", "w1", 1.0, 2)]
+    counted = spark.createDataFrame(rows, "pair string, writer string, score double, times long")
+    each = counted.select("pair", "writer", "score", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    assert {tuple(r) for r in D.pair_statistics(counted, times="times").collect()} == {tuple(r) for r in D.pair_statistics(each).collect()}
+
+
+def test_repeated_words_are_cut_into_bigrams_once(spark, tmp_path):
+    spark.createDataFrame([("en", "alpha beta alpha"), ("fr", "alpha")], "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["pair_stats"](spark, str(tmp_path))
+    assert {r["pair"]: r["count"] for r in out.collect()} == {"al": 3, "lp": 3, "ph": 3, "ha": 3, "be": 1, "et": 1, "ta": 1}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
