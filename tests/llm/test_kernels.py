@@ -154,6 +154,20 @@ def test_inserted_clauses_within_the_similarity(length, inserted):
     assert ((40, length - 4, 30, length + inserted - 4) in substring_dedup.passages(two, one, whole_windows(one), 46)) == alike
 
 
+def test_packed_postings_come_back_and_are_small():
+    rng = np.random.default_rng(3)
+    rows = np.zeros(500, substring_dedup._POSTING)
+    rows["token"], rows["doc"] = rng.integers(0, 1 << 63, 500), np.sort(rng.integers(0, 50, 500)) + (7 << 33)
+    rows["l"], rows["m"], rows["r"] = np.sort(rng.integers(0, 900, (3, 500)), axis=0)
+    batch = substring_dedup._dealt(4, rows["token"], rows, rows[:3], rows[:0])
+    table = pa.Table.from_batches([batch])
+    back = substring_dedup._unpacked(table, "postings", substring_dedup._POSTING)
+    assert np.array_equal(np.sort(back), np.sort(rows))
+    assert np.array_equal(substring_dedup._unpacked(table, "pairs", substring_dedup._POSTING), rows[:3])
+    assert len(substring_dedup._unpacked(table, "hot", substring_dedup._POSTING)) == 0
+    assert sum(len(x) for x in batch.column(1).to_pylist()) < 0.6 * rows.nbytes
+
+
 def test_runs_of_single_shingles_are_the_equal_runs():
     rng = random.Random(4)
     for _ in range(40):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqengine.llm import decontaminate, language_id, line_dedup, media, near_dedup, quotation, queries, sentencepiece_codec, substring_dedup, token_codes, warc
+from seqengine.llm import decontaminate, language_id, line_dedup, media, near_dedup, quotation, queries, sentencepiece_codec, shared, substring_dedup, token_codes, warc
 
 P = pytest.importorskip("public_tokenizers")
 SMALL = "/root/testdata/sf0.001"
@@ -171,6 +171,38 @@ def test_substring_dedup_of_an_edited_passage_past_holders_of_its_parts(spark):
     assert {r["doc_id"]: r["class_id"] for r in substring_dedup.repeating_documents(documents).collect() if r["doc_id"] in (1, 999)} == {1: 1, 999: 1}
 
 
+def test_substring_dedup_in_passes(spark, monkeypatch):
+    rng = random.Random(11)
+    shared = [" ".join(f"s{k}x{rng.randrange(10**6)}" for _ in range(60)) for k in range(3)]
+    rows = []
+    for k in range(120):
+        own = [" ".join(f"o{rng.randrange(10**6)}" for _ in range(25)) for _ in range(2)]
+        part = shared[k % 3].split()
+        if k % 2:
+            part[rng.randrange(60)] = f"edit{k}"
+        rows.append((k, f"{own[0]} {' '.join(part)} {own[1]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, substring_dedup.repeating_documents(docs).collect()))
+    tables = []
+    keep = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name, **o: (tables.append(name), keep(df, name, **o))[1])
+    monkeypatch.setattr(substring_dedup, "PASS_PAIRS", 100)
+    monkeypatch.setattr(substring_dedup, "PASS_WINDOWS", 50)
+    assert sorted(map(tuple, substring_dedup.repeating_documents(docs).collect())) == whole
+    assert len(whole) == 120 and len({r[1] for r in whole}) == 3
+    assert tables.count("passages") > 2 and tables.count("left") > 1
+
+
+def test_rows_among_ids(spark, monkeypatch):
+    rows = spark.range(2000).select("id", F.col("id").cast("string").alias("text"))
+    ids = rows.where("id % 100 = 7").select((F.col("id")).alias("other"))
+    for marks, most in ((1 << 24, 20), (256, 400)):
+        monkeypatch.setattr(shared, "MARKS", marks)
+        kept = {r["id"] for r in shared.among(rows, "id", ids).collect()}
+        assert kept >= set(range(7, 2000, 100)) and len(kept) <= most
+    assert shared.among(rows, "id", ids.limit(0)).count() == 0
+
+
 def test_token_segments(hostile, empty):
     path = P.path("byte_bpe_50k.json")
     got = token_codes.read_documents(token_codes.token_segments(hostile, path, P.PATTERN)).collect()
