@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqengine.llm.shared import components, discard, written
+from seqengine.llm.shared import among, components, discard, written
 from seqengine.llm.wordhash import batches, mix, shingles, words
 
 COORDINATES, MISS = 64, 1e-8
 BLOCK = 256
+LONG = 32  # a coordinate with more than one in so many pairs in its postings is merged as a whole
 BUCKET_BYTES = 24 << 20
 _rng = np.random.default_rng(9)
 _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,21 +117,33 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def collisions(signatures: np.ndarray) -> np.ndarray:
-    """Equal coordinates of each pair of signatures, counted along the postings of every coordinate and value."""
+    """Equal coordinates of each pair of signatures, counted along the postings of every coordinate and value.
+
+    Where near copies make a coordinate's lists so long that most of its pairs
+    are in them, these are merged as a whole.
+    """
     n = len(signatures)
-    token = ((np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[None, :] | signatures).ravel()
-    who = np.repeat(np.arange(n), COORDINATES)
+    whole, long = np.zeros((n, n), np.int32), np.zeros(COORDINATES, bool)
+    for k, column in enumerate(np.ascontiguousarray(signatures.T)):
+        size = np.unique(column, return_counts=True)[1]
+        long[k] = LONG * int((size * (size - 1)).sum()) > n * n
+        if long[k]:
+            whole += column[:, None] == column
+    np.fill_diagonal(whole, 0)
+    some = np.flatnonzero(~long)
+    token = ((some.astype(np.uint64) << np.uint64(32))[None, :] | signatures[:, some]).ravel()
+    who = np.repeat(np.arange(n), len(some))
     order = np.argsort(token, kind="stable")
     token, who = token[order], who[order]
-    count = np.zeros(n * n, np.int32)
+    pairs = [np.zeros(0, np.int64)]
     at, step = np.arange(len(token)), 1
     while len(at):
         at = at[at + step < len(token)]
         at = at[token[at] == token[at + step]]  # tokens are sorted: a run that ended stays ended
-        np.add.at(count, who[at] * n + who[at + step], 1)
+        pairs.append(who[at] * n + who[at + step])
         step += 1
-    count = count.reshape(n, n)
-    return count + count.T
+    count = np.bincount(np.concatenate(pairs), minlength=n * n).astype(np.int32).reshape(n, n)
+    return whole + count + count.T
 
 
 def jaccard_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, signatures: np.ndarray, split: int | None = None) -> list[tuple[int, int]]:
@@ -282,7 +295,7 @@ def _links(documents: DataFrame, coarse: DataFrame, classes: DataFrame, size: in
         rows = rows.select("rep", "signature", "root", "side", *_PAIR)
         some = rows.groupBy(*_PAIR).applyInArrow(_outstanding(percent, best), rows.schema).drop("root")
         some = written(some, "outstanding")
-        found = texts.hint("merge").join(some, "rep").groupBy(*_PAIR).applyInArrow(_verify(size, percent), "a long, b long")
+        found = among(texts, "rep", some.select("rep")).hint("merge").join(some, "rep").groupBy(*_PAIR).applyInArrow(_verify(size, percent), "a long, b long")
         found = written(found, "links")
         discard(some)
         return found
@@ -293,6 +306,10 @@ def _links(documents: DataFrame, coarse: DataFrame, classes: DataFrame, size: in
     for best in (True, False) if wide.limit(1).count() else ():
         roots = components(links).withColumnRenamed("id", "rep")
         rooted = wide.join(roots.withColumnRenamed("component", "linked"), "rep", "left").withColumn("root", F.coalesce("linked", "rep"))
+        # A group that links join already has no pair left to try.
+        apart = rooted.groupBy("component").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("component")
+        rooted = written(rooted.join(apart, "component"), "rooted")
         links = links.unionAll(linked(rooted.select("rep", "signature", "root", "component", F.inline(F.expr(_OTHERS))), best))
+        discard(rooted)
     discard(member)
     return links

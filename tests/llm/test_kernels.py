@@ -82,6 +82,22 @@ def test_collisions_are_counted_per_pair():
     assert (near_dedup.collisions(signatures) == want).all()
 
 
+def test_collisions_of_near_copies_are_not_added_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(6)
+    signatures = np.tile(rng.integers(0, 1 << 32, near_dedup.COORDINATES, dtype=np.uint32), (300, 1))
+    changed = rng.random(signatures.shape) < np.linspace(0, 1, near_dedup.COORDINATES)
+    signatures[changed] = rng.integers(0, 1 << 32, int(changed.sum()), dtype=np.uint32)
+    listed = []
+    keep = np.concatenate
+    monkeypatch.setattr(near_dedup.np, "concatenate", lambda parts, *rest: [listed.append(sum(map(len, parts))), keep(parts, *rest)][1])
+    monkeypatch.setattr(near_dedup.np, "add", None)  # nothing is added at single places
+    got = near_dedup.collisions(signatures)
+    expected = (signatures[:, None, :] == signatures[None, :, :]).sum(axis=2)
+    np.fill_diagonal(expected, 0)
+    assert np.array_equal(got, expected)
+    assert sum(listed) < 300 * 300  # of near a million equal pairs
+
+
 def test_match_count_rarely_misses():
     assert near_dedup.matches_for(85) > near_dedup.matches_for(80) > 20
 

@@ -83,6 +83,26 @@ def test_near_dedup_sends_texts_of_candidates_alone(spark, monkeypatch):
     assert 20 <= sum(sent) <= 60  # with signatures and texts together each text was sent once a block
 
 
+def test_near_dedup_leaves_groups_that_links_join(spark, monkeypatch):
+    """A large group of copies that one round connects sends no signature in the next ones."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+    rows = [(d, " ".join([*base, f"end{d}"])) for d in range(60)]
+    sent: list[int] = []
+    keep = near_dedup.written
+
+    def written(df, name, **options):
+        out = keep(df, name, **options)
+        sent.extend([out.count()] * (name == "rooted"))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", written)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+    assert sent == [60, 0]  # blocks apart, then one group
+
+
 def test_line_dedup(hostile, empty):
     got = line_dedup.dedup_lines(hostile)
     assert set(got.columns) == {*hostile.columns, "n_lines", "n_removed"} and line_dedup.dedup_lines(empty).count() == 0
