@@ -13,10 +13,11 @@ equal sets are the extreme case.  Lines without tokens are never removed.
    0.8, by size class), the positional filter (the overlap still possible from
    the shared prefix places) and a parity filter (the bits in which two parity
    sketches differ are at most the symmetric difference allowed).  A sketch has
-   a bit or more a token up to 1024, so it tells long sets apart as it does short ones.
+   64 bits, and 256 for sets of more than 64 tokens; all filters are plain
+   comparisons of longs, so the join is compiled.
    Tokens are dealt in passes, so the shuffle of a part of them is on disk at once.
 4. First each list's earliest class of a size class meets the others, one pair
-   a posting; then the classes that this did not remove meet all earlier ones,
+   a posting of the shorter prefix below; then the classes that this did not remove meet all earlier ones,
    the smaller set of a pair by its first n - ceil(8 n / 9) + 1 tokens alone.
    Full token sets verify every pair, so a large group of near copies costs
    pairs in proportion to its lines, and no link that decides a removal is lost.
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqengine.llm.shared import discard, written
+from seqengine.llm.shared import among, discard, written
 
 BUCKETS = 1 << 16
 LEVELS_AN_OCTAVE = 8
-PASSES, PASS_PAIRS, PASS_POSTINGS = 8, 400_000, 4_000_000  # pairs are verified, and postings joined, in up to so many passes of about this size or more
-WIDEST = 16  # longs of the widest sketch
+PASSES, PASS_PAIRS, PASS_POSTINGS = 8, 400_000, 6_000_000  # pairs are verified, and postings joined, in up to so many passes of about this size or more
+QUARTERS = (-(1 << 62), 0, 1 << 62)  # hashes at which the quarters of a sorted set end
+WIDE = ("wide1", "wide2", "wide3")  # sketches of the first three quarters of a set of more than 64 tokens
 LEAST_TOKENS = 4  # below this no set reaches 0.8 without being equal
 
 #: Blank-separated tokens of a line as a sorted array of distinct hashes.
@@ -55,7 +57,7 @@ def token_levels(documents: DataFrame) -> list[int]:
 
 
 def _lines(documents: DataFrame, levels: list[int]) -> DataFrame:
-    """Every line with tokens: doc, line, its set's keys k1 and k2, size n, parity sketch (wide, and folded to a long) and prefix.
+    """Every line with tokens: doc, line, its set's keys k1 and k2, size n, parity sketch (of all, and of quarters in `WIDE`) and prefix.
 
     A prefix token is its level above 56 bits of its hash, so that plain order
     of longs is the rarity order.
@@ -64,64 +66,62 @@ def _lines(documents: DataFrame, levels: list[int]) -> DataFrame:
     # The filter reads the line, not its tokens: pushed below them it would compute them twice.
     tokens = rows.where("trim(content) <> ''").select("doc", "line", F.expr(_TOKENS.format(line="content")).alias("tokens")).withColumn("n", F.size("tokens"))
     table = f"from_json('{levels}', 'array<bigint>')"
-    ranked = F.expr(f"slice(sort_array(transform(tokens, t -> shiftleft(get({table}, cast(pmod(t, {BUCKETS}) as int)), 56) | (t & 72057594037927935))), 1, n - (4 * n + 4) div 5 + 1)")
-    parity = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, cast((t >> 20) & 63 as int)))")
-    # `most` + 1 longs, a power of two; the long of a token is named by the bits above those that name its bit.
-    tokens = tokens.withColumn("most", F.expr(f"least({WIDEST}L, cast(pow(2, ceil(log2(n / 64))) as bigint)) - 1L"))
-    wide = F.expr("transform(sequence(0L, most), k -> aggregate(tokens, 0L, (a, t) -> if(((t >> 26) & most) = k, a ^ shiftleft(1L, cast((t >> 20) & 63 as int)), a)))")
+    ranked = F.expr(f"slice(sort_array(transform(tokens, t -> shiftleft(get({table}, cast(t & {BUCKETS - 1} as int)), 56) | (t & 72057594037927935))), 1, n - (4 * n + 4) div 5 + 1)")
+    parity = lambda of: F.expr(f"aggregate({of}, 0L, (a, t) -> a ^ shiftleft(1L, cast((t >> 20) & 63 as int)))")
+    long = F.col("n") > 64
+    # Tokens are in the order of their hashes, so a quarter is a slice.
+    tokens = tokens.withColumns({f"end{k}": F.when(long, F.expr(f"size(filter(tokens, t -> t < {at}L))")) for k, at in enumerate(QUARTERS)})
+    wide = [F.when(long, parity(f"slice(tokens, {begin} + 1, end{k} - {begin})")).alias(name) for k, (begin, name) in enumerate(zip(("0", "end0", "end1"), WIDE))]
     several = F.col("n") >= LEAST_TOKENS
     keys = [F.expr(_KEY.format(tokens="tokens")).alias("k1"), F.xxhash64(F.lit(6), "tokens").alias("k2")]
-    return tokens.select("doc", "line", *keys, "n", F.when(several, parity).alias("parity"), F.when(F.col("n") > 64, wide).alias("wide"), F.when(several, ranked).alias("prefix"))
+    return tokens.select("doc", "line", *keys, "n", F.when(several, parity("tokens")).alias("parity"), *wide, F.when(several, ranked).alias("prefix"))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """One row a token set, numbered by first position: id, k1, k2, doc, line, n, parity, wide, prefix.
+    """One row a token set, numbered by first position: id, k1, k2, doc, line, copies, n, parity, wide1 to wide3, prefix.
 
     The range exchange puts first positions in order, so ids ascend with them.
     """
-    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("first"), *[F.first(c).alias(c) for c in ("n", "parity", "wide", "prefix")])
-    ordered = grouped.select("first.doc", "first.line", "k1", "k2", "n", "parity", "wide", "prefix").repartitionByRange("doc", "line", "k1").sortWithinPartitions("doc", "line", "k1")
+    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "parity", *WIDE, "prefix")])
+    ordered = grouped.select("first.doc", "first.line", "k1", "k2", "copies", "n", "parity", *WIDE, "prefix").repartitionByRange("doc", "line", "k1").sortWithinPartitions("doc", "line", "k1")
     return ordered.withColumn("id", F.monotonically_increasing_id())
 
 
 def _postings(classes: DataFrame, part: int, parts: int) -> DataFrame:
     """A row a prefix token of a pass: token (31 bits of its hash), place, size class and the class's columns."""
-    rows = classes.where("prefix is not null").select("id", "n", "parity", "wide", "open", F.posexplode("prefix").alias("place", "t"))
+    rows = classes.where("prefix is not null").select("id", "n", "parity", *WIDE, "open", F.posexplode("prefix").alias("place", "t"))
     token = F.expr("cast(t & 2147483647 as int)")
     rows = rows.where((token % parts) == part) if parts > 1 else rows
-    return rows.select(token.alias("token"), "id", "parity", "wide", F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(place, 1) | open").alias("packed"))
+    return rows.select(token.alias("token"), "id", "parity", *WIDE, F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(place, 1) | open").alias("packed"))
 
 
 def _side(postings: DataFrame, side: str) -> DataFrame:
     """Postings with the packed columns apart, their names begun by `side`."""
-    columns = {"token": "token", "id": "id", "parity": "parity", "wide": "wide", "n": "cast(packed >> 32 as int)", "place": "cast((packed >> 1) & 2147483647 as int)", "open": "packed & 1"}
+    columns = {"token": "token", "id": "id", "parity": "parity", **{c: c for c in WIDE}, "n": "cast(packed >> 32 as int)", "place": "cast((packed >> 1) & 2147483647 as int)", "open": "packed & 1"}
     return postings.selectExpr(*(f"{e} as {side}{name}" for name, e in columns.items()))
 
 
-#: The bits in which two wide sketches differ, the wider one folded to the other's longs.
-_WIDE_BITS = (
-    "aggregate(sequence(0, least(size(xwide), size(ywide)) - 1), 0, (a, k) -> a + bit_count("
-    "aggregate(sequence(k, size(xwide) - 1, least(size(xwide), size(ywide))), 0L, (b, i) -> b ^ get(xwide, i))"
-    " ^ aggregate(sequence(k, size(ywide) - 1, least(size(xwide), size(ywide))), 0L, (b, i) -> b ^ get(ywide, i))))"
-)
+#: The bits in which the sketches of four quarters differ; the fourth is what the others leave of the whole.
+_WIDE_BITS = " + ".join(f"bit_count({x})" for x in (*(f"x{c} ^ y{c}" for c in WIDE), " ^ ".join(f"{side}{c}" for c in ("parity", *WIDE) for side in "xy")))
 #: Length, positional and parity filters; the overlap needed is ceil(0.8 / 1.8 * (xn + yn)).
 _FILTERS = (
     "yid <> xid and 5 * least(xn, yn) >= 4 * greatest(xn, yn)"
     " and least(xn - xplace, yn - yplace) >= (4 * (xn + yn) + 8) div 9"
     " and bit_count(xparity ^ yparity) * 9 <= xn + yn"
-    f" and (xwide is null or ywide is null or {_WIDE_BITS} * 9 <= xn + yn)"
+    f" and (xwide1 is null or ywide1 is null or ({_WIDE_BITS}) * 9 <= xn + yn)"
 )
 
 
 def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later classes (id) of pairs (xid, yid) whose full token sets have similarity 0.8 or more."""
     ends = pairs.select(F.explode(F.array("xid", "yid")).alias("id")).distinct()
-    where = classes.select("id", "doc", "line", "k1").join(ends, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "k1")).alias("want"))
-    texts = documents.hint("merge").join(where, "doc").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
+    where = written(classes.select("id", "doc", "line", "k1").join(ends, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "k1")).alias("want")), "where")
+    texts = among(documents, "doc", where.select("doc")).hint("merge").join(where, "doc").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
     lines = texts.select("w.id", "w.k1", F.get("lines", F.col("w.line")).alias("content")).where("content is not null")
     # A generator's output keeps the filter above it.
     sets = lines.select("id", "k1", F.explode(F.array(F.expr(_TOKENS.format(line="content")))).alias("tokens")).where(F.expr(_KEY.format(tokens="tokens") + " = k1")).dropDuplicates(["id"])
     sets = written(sets.select("id", "tokens"), "sets")
+    discard(where)
     common = F.size(F.array_intersect("xt", "yt"))
     passes = min(PASSES, 1 + pairs.count() // PASS_PAIRS)
     found = []
@@ -135,9 +135,9 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
 
 def _met(postings: DataFrame) -> DataFrame:
     """Within the tokens' one exchange, each list's earliest class of a size class meets the others: xid, yid."""
-    dealt = _side(postings.repartition("token"), "x").withColumn("span", F.expr("cast(floor(log(xn) / log(1.25D)) as int)"))
-    hub = F.first(F.struct("xid", "xparity", "xwide", "xn", "xplace")).over(W.partitionBy("xtoken", "span").orderBy("xid").rowsBetween(W.unboundedPreceding, 0))
-    met = dealt.withColumn("y", hub).select("*", *[F.col(f"y.x{c}").alias(f"y{c}") for c in ("id", "parity", "wide", "n", "place")])
+    dealt = _side(_short(postings).repartition("token"), "x").withColumn("span", F.expr("cast(floor(log(xn) / log(1.25D)) as int)"))
+    hub = F.first(F.struct("xid", "xparity", *[f"x{c}" for c in WIDE], "xn", "xplace")).over(W.partitionBy("xtoken", "span").orderBy("xid").rowsBetween(W.unboundedPreceding, 0))
+    met = dealt.withColumn("y", hub).select("*", *[F.col(f"y.x{c}").alias(f"y{c}") for c in ("id", "parity", *WIDE, "n", "place")])
     return met.where(_FILTERS).select("xid", "yid").distinct()
 
 
@@ -175,7 +175,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     gone = _verified(documents, classes, star)
 
     marked = classes.join(gone.select("id", F.lit(0).alias("o")).hint("merge"), "id", "left").withColumn("open", F.coalesce("o", F.lit(1)))
-    marked = written(marked.select("id", "n", "parity", "wide", "open", "prefix"), "marked")
+    marked = written(marked.select("id", "n", "parity", *WIDE, "open", "prefix"), "marked")
     rest = _once([written(_paired(_postings(marked, k, passes)), "rest") for k in range(passes)], "rest")
     discard(marked)
     new = written(rest.join(star, ["xid", "yid"], "left_anti"), "new")
@@ -183,11 +183,12 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     late = _verified(documents, classes, new)
 
     removed = gone.unionAll(late).withColumn("out", F.lit(True))
-    info = classes.select("id", "k1", "k2", F.col("doc").alias("fd"), F.col("line").alias("fl")).join(removed, "id", "left").drop("id")
+    info = classes.select("id", "k1", "k2", "copies", F.col("doc").alias("fd"), F.col("line").alias("fl")).join(removed, "id", "left").where("out or copies > 1")
+    info = written(info.drop("id", "copies"), "info")
     # An occurrence is kept if it is its class's first and the class stays.
-    out = lines.select("doc", "line", "k1", "k2").join(info.hint("merge"), ["k1", "k2"]).where("out or doc <> fd or line <> fl").select("doc", "line", "k1").distinct()
+    out = among(lines.select("doc", "line", "k1", "k2"), "k1", info.select("k1")).join(info.hint("merge"), ["k1", "k2"]).where("out or doc <> fd or line <> fl").select("doc", "line", "k1").distinct()
     out = written(out, "removed")
-    for table in (star, new, classes, lines):
+    for table in (star, new, classes, lines, info):
         discard(table)
     return out
 

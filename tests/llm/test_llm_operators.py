@@ -155,6 +155,24 @@ def test_line_pairs_meet_by_the_short_prefix(spark):
     assert {p for p in want if p[0] % 2 == 0} <= {tuple(r) for r in line_dedup._paired(late).collect()}
 
 
+def test_long_line_pairs_meet_in_a_compiled_join(spark):
+    """All pairs of long sets at 0.8, by force, pass the sketches of quarters, few others do, and no filter is interpreted."""
+    rng, sets = random.Random(7), []
+    for _ in range(20):
+        base = [f"w{k}" for k in rng.sample(range(1500), rng.randrange(65, 300))]
+        for share in (0, 0.04, 0.1, 0.11):
+            n = round(len(base) * share)
+            sets.append(base[n:] + [f"x{rng.randrange(10**6)}" for _ in range(n)])
+    documents = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(sets)], "doc long, text string")
+    classes = line_dedup._classes(line_dedup._lines(documents, line_dedup.token_levels(documents)))
+    number = {r["doc"]: r["id"] for r in classes.select("doc", "id").collect()}
+    want = {(number[y], number[x]) for y in number for x in range(y) if x in number and 5 * len(set(sets[x]) & set(sets[y])) >= 4 * len(set(sets[x]) | set(sets[y]))}
+    pairs = line_dedup._paired(shared.written(line_dedup._postings(classes.withColumn("open", F.lit(1)), 0, 1), "postings"))
+    got = {tuple(r) for r in pairs.collect()}
+    assert len(want) > 60 and want <= got and len(got) < 2 * len(want) + 60
+    assert "lambda" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_substring_dedup(hostile, empty):
     got = {r["doc_id"]: r for r in substring_dedup.repeating_documents(hostile).collect()}
     assert set(got) == {6, 7, 8} and all(r["longest_words"] >= 70 and r["class_id"] == 6 and r["links"] == 2 for r in got.values())
