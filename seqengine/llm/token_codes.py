@@ -18,10 +18,11 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ MAGIC = b"DAC1"
 BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 CACHE_CHUNKS = 400_000
+GATHER = 1 << 18  # chunks whose ids are put in their places at a time
 _MARKS = frozenset(",.;:!?")
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -159,28 +162,51 @@ class ChunkEncoder:
         self.model, self.end = self.whole.model, struct.pack("<I", end)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.letters = _byte_letters()
+        self.space, self.tokenize = self.letters[32], self.model.tokenize
         self.find = regex.compile(pattern).findall
-        self.first = Aging(CACHE_CHUNKS // 8, lambda c: self._chunk("", c))
-        self.later = Aging(CACHE_CHUNKS, lambda c: self._chunk(" ", c))
+        self.first = Aging(CACHE_CHUNKS // 8, partial(self._chunk, ""))
+        self.later = Aging(CACHE_CHUNKS, partial(self._chunk, " "))
         self.word = Aging(CACHE_CHUNKS, self._word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text with the end id."""
-        first, later, end = self.first, self.later, self.end
-        out = []
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        even = []
+        for k, text in enumerate(texts):
             if any(t in text for t in self.added):
                 ids = self.whole.encode(text, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
-                continue
-            if self._uneven(text):
+                out[k] = struct.pack(f"<{len(ids)}I", *ids) + self.end
+            elif self._uneven(text):
                 head, *rest = self._cut.split(text)
-                rest = [c[1:] for c in rest]
+                out[k] = self.first[head] + b"".join([self.later[c[1:]] for c in rest]) + self.end
             else:
-                head, *rest = text.split(" ")
-            out.append(first[head] + b"".join([later[c] for c in rest]) + end)
+                even.append(k)
+        for k, code in zip(even, self._even([texts[k] for k in even])):
+            out[k] = code + self.end
         return out
 
+    def _even(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose spaces stand alone between other characters: each different chunk of them is looked up once."""
+        if not texts:
+            return []
+        cut = [text.partition(" ") for text in texts]
+        rest = pc.split_pattern(pa.array([r if space else None for _, space, r in cut], pa.large_string()), " ")
+        chunks = rest.flatten().dictionary_encode()
+        codes = [self.later[c] for c in chunks.dictionary.to_numpy(zero_copy_only=False)]
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        begin, data = np.cumsum(size) - size, np.frombuffer(b"".join(codes), "<u4")
+        index = chunks.indices.to_numpy()
+        parts = [np.zeros(0, "<u4")]
+        for at in range(0, len(index), GATHER):
+            part = index[at : at + GATHER]
+            n = size[part]
+            ends = np.cumsum(n)
+            parts.append(data[np.repeat(begin[part] - ends + n, n) + np.arange(n.sum())])
+        raw = memoryview(np.concatenate(parts)).cast("B")
+        before = np.concatenate([[0], np.cumsum(size[index])]) * 4
+        rows = before[np.concatenate([[0], np.cumsum(pc.list_value_length(rest).fill_null(0).to_numpy())])].tolist()
+        return [self.first[head] + raw[i:j] for (head, _, _), i, j in zip(cut, rows, rows[1:])]
+
     def _uneven(self, text: str) -> bool:
         """Whether a space stands beside white space or at an end."""
         if "  " in text or text[:1] == " " or text[-1:] == " ":
@@ -196,8 +222,13 @@ class ChunkEncoder:
         return b"".join([self.word[w] for w in self.find(lead + chunk)])
 
     def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        letters = word[1:]
+        if word[0] == " " and letters.isascii() and letters.isalpha():  # all but the space are written by themselves
+            written = self.space + letters
+        else:
+            written = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(written)]
+        return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[tuple[str, str, int], ChunkEncoder] = {}

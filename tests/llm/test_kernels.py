@@ -244,6 +244,27 @@ def test_dac_reads_all_and_one(ids):
         reader[len(ids)]
 
 
+def test_each_different_chunk_is_looked_up_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, asked = P.path("byte_bpe_50k.json"), []
+
+    class Counted(token_codes.Aging):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(token_codes, "GATHER", 7, raising=False)
+    encoder = token_codes.ChunkEncoder(path, P.PATTERN, 2)
+    encoder.later = Counted(100, lambda c: encoder._chunk(" ", c))
+    rng, many = random.Random(4), ["the", "dog,", "é", "x\ty", "你好", "don't", "1st"]
+    texts = [" ".join(rng.choices(many, k=k)) for k in (0, 1, 2, 3, 50, 400)] + ["alone", "", "a b"]
+    codes = encoder.encode(texts)
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(c, "<u4").tolist() for c in codes] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert sorted(asked) == sorted([*many, "b"])
+
+
 def test_chunks_encode_as_the_library():
     from tokenizers import Tokenizer
 
