@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqengine.llm.shared import freeing
 from seqengine.llm.wordhash import PLAIN, batches, shingles, words
 
 K1, B = 1.2, 0.75
@@ -285,7 +286,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     arrays = [batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([i for _, i, _ in found], pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays + [pa.array([v[k] for _, _, v in found], pa.float64()) for k in range(3)], ["row", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        return columns.mapInArrow(run, schema)
+        return columns.mapInArrow(freeing(run), schema)
 
     parts = [pairs(indexes) for indexes in _indexes(benchmark)] or [spark.createDataFrame([], schema)]
     return reduce(DataFrame.unionAll, parts).withColumnRenamed("row", "doc_id")
@@ -302,5 +303,5 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {r for r, _, _ in _matches(sent.value, word, rows)}
                 yield batch.filter(pa.array([r not in bad for r in range(batch.num_rows)], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.mapInArrow(freeing(run), documents.schema)
     return documents

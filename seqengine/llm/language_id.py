@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqengine.llm.shared import freeing
+
 PER_LANGUAGE = 400
 FEATURES = 1 << 16
 SWITCH = 6.0
 CLIP = 12.0
 CACHE_BYTES = 32 << 20  # of the tokens that a task keeps, with `ENTRY` for each
 ENTRY = 200
+LEARN = 1 << 14  # tokens whose grams are held at a time
 BATCH = 2 << 20  # bytes of text whose paths advance together
 FEW = 16
 FIT_CHARS = 20_000  # of a text that the fit reads
@@ -139,17 +142,18 @@ class Labeller:
         new = [t for t in tokens if t not in self.known]
         if not new:
             return
-        runs = [letter_runs(t.lower()) for t in new]
-        flat = [w for r in runs for w in r]
-        size = np.array([len(r) for r in runs])
-        score = np.zeros((len(new), len(self.model.languages)), np.float32)
-        if flat:
-            np.add.at(score, np.repeat(np.arange(len(new)), size), self.model.score(flat))
         at = len(self.scores)
+        score = np.zeros((len(new), len(self.model.languages)), np.float32)
+        letters = np.zeros(len(new), np.int64)
+        for first in range(0, len(new), LEARN):
+            runs = [letter_runs(t.lower()) for t in new[first : first + LEARN]]
+            letters[first : first + LEARN] = [sum(map(len, r)) for r in runs]
+            if flat := [w for r in runs for w in r]:
+                np.add.at(score, np.repeat(np.arange(first, first + len(runs)), [len(r) for r in runs]), self.model.score(flat))
         self.held += sum(map(len, new)) + len(new) * (ENTRY + 4 * score.shape[1])
         self.known.update((t, at + k) for k, t in enumerate(new))
         self.scores = np.concatenate([self.scores, score])
-        self.letters = np.concatenate([self.letters, [sum(map(len, r)) for r in runs]])
+        self.letters = np.concatenate([self.letters, letters])
 
     def paths(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         """Of each text its tokens, their letters and the label index of each (-1 without letters)."""
@@ -311,7 +315,7 @@ def predict(documents: DataFrame, model: Model, spans: bool = False) -> DataFram
     columns = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
     extra = ", spans array<struct<first:int,words:int,lang:string>>" if spans else ""
-    return columns.mapInArrow(_predict(model, spans), f"row {kind}, lang_pred string, score double{extra}").withColumnRenamed("row", "doc_id")
+    return columns.mapInArrow(freeing(_predict(model, spans)), f"row {kind}, lang_pred string, score double{extra}").withColumnRenamed("row", "doc_id")
 
 
 def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
@@ -325,4 +329,4 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> D
             verdict = _judge(labeller, batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(*verdict)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(freeing(run), documents.schema)

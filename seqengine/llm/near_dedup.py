@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqengine.llm.shared import among, components, discard, written
+from seqengine.llm.shared import among, components, discard, freeing, written
 from seqengine.llm.wordhash import batches, mix, shingles, words
 
 COORDINATES, MISS = 64, 1e-8
@@ -213,11 +213,11 @@ def near_duplicates(documents: DataFrame, size: int = 3, percent: int = 85) -> D
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = written(documents.mapInArrow(_features(size), "doc_id long, n_shingles long, set_key binary, signature binary"), "features")
+    features = written(documents.mapInArrow(freeing(_features(size)), "doc_id long, n_shingles long, set_key binary, signature binary"), "features")
     classes = written(features.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.first("n_shingles").alias("size")), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, 1 + classes.count() * COORDINATES * 16 // BUCKET_BYTES)
-    posted = classes.select("rep", "signature").mapInArrow(_post(buckets), "bucket long, tokens binary, owners binary")
+    posted = classes.select("rep", "signature").mapInArrow(freeing(_post(buckets)), "bucket long, tokens binary, owners binary")
     shared = posted.groupBy("bucket").applyInArrow(_count, "rep long, token long, many long")
     matches = matches_for(percent)
     lists = shared.groupBy("rep").agg(F.collect_list(F.struct("many", "token")).alias("values"))

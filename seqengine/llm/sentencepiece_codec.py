@@ -9,7 +9,8 @@ character that is no piece costs the model's lowest score less 10 and becomes
 its UTF-8 byte pieces, so decoding is lossless (U+2581 reads back as a space).
 
 No piece has the space mark after another character, so a text is encoded a
-word at a time, and a bounded cache of words changes speed alone.
+word at a time, and a bounded cache of words changes speed alone.  A task empties
+it at its end, as the worker process lives on.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqengine.llm.shared import freeing
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10
 CACHE_WORDS = 300_000
@@ -70,6 +74,16 @@ class Codec:
             raise ValueError("the model has no byte pieces")
         return cls(pieces, [bytes_of[b] for b in range(256)], controls)
 
+    @classmethod
+    @contextmanager
+    def of_task(cls, path: str) -> Iterator[Codec]:
+        """The codec of a model, without its words at the end."""
+        codec = cls.load(path)
+        try:
+            yield codec
+        finally:
+            codec.known.clear()
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best-scoring segmentation of a marked text."""
         n = len(text)
@@ -145,15 +159,32 @@ def encode_column(documents: DataFrame, model: str, text: str = "text", ids: str
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from seqengine.llm.wordhash import batches
 
-        codec = Codec.load(model)
-        for batch in batches(stream, text):
-            found = [codec.encode(x or "") for x in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, values)], [*batch.schema.names, ids])
+        with Codec.of_task(model) as codec:
+            for batch in batches(stream, text):
+                found = [codec.encode(x or "") for x in batch.column(text).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, values)], [*batch.schema.names, ids])
 
     schema = T.StructType([*documents.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(freeing(run), schema)
+
+
+def _checked(model: str):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from seqengine.llm.wordhash import batches
+
+        with Codec.of_task(model) as codec:
+            for batch in batches(stream):
+                texts = [x or "" for x in batch.column("text").to_pylist()]
+                found = [codec.encode(x) for x in texts]
+                same = [codec.decode(ids.tolist()) == x for ids, x in zip(found, texts)]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
+                more = [pa.ListArray.from_arrays(ends, values), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "ids", "n_tokens", "lossless"])
+
+    return run
 
 
 def encode_checked(documents: DataFrame, model: str) -> DataFrame:
@@ -163,22 +194,8 @@ def encode_checked(documents: DataFrame, model: str) -> DataFrame:
     space in its place and isn't lossless.  Columns that have these names already are replaced; a null text is empty.
     """
     documents = documents.drop("ids", "n_tokens", "lossless")
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from seqengine.llm.wordhash import batches
-
-        codec = Codec.load(model)
-        for batch in batches(stream):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            found = [codec.encode(x) for x in texts]
-            same = [codec.decode(ids.tolist()) == x for ids, x in zip(found, texts)]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
-            more = [pa.ListArray.from_arrays(ends, values), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "ids", "n_tokens", "lossless"])
-
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *more]))
+    return documents.mapInArrow(freeing(_checked(model)), T.StructType([*documents.schema.fields, *more]))
 
 
 def decode_digests(encoded: DataFrame, model: str) -> DataFrame:

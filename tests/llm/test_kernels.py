@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seqengine.llm import decontaminate, language_id, media, near_dedup, quotation, sentencepiece_codec, substring_dedup, token_codes, warc, wordhash
+from seqengine.llm import decontaminate, language_id, media, near_dedup, quotation, sentencepiece_codec, shared, substring_dedup, token_codes, warc, wordhash
 
 P = pytest.importorskip("public_tokenizers")
 TEXTS = ["", " ", "a  b", "Der Hund, the dog!", "x" * 5000, "é ß 你好 \x00 tab\tnew\nline", " lead and trail ", "don't we'll 1st ½", "a b  c"]
@@ -489,3 +489,30 @@ def test_warc_records_parse_back():
     assert [f["warc-page-id"] for *_, f in parsed] == ["1", "", "2"]
     assert sum(size for _, size, _ in parsed) == len(content)
     assert list(warc.parse(b"")) == [] and sum(s for _, s, _ in warc.parse(content[:-30])) == len(content) - 30
+
+
+def test_a_task_leaves_no_words_in_its_worker():
+    path = P.path("piece_bpe_32k.model")
+    codec = sentencepiece_codec.Codec.load(path)
+    batch = pa.RecordBatch.from_pydict({"text": ["words of a task", None, ""]})
+    rows = pa.Table.from_batches(shared.freeing(sentencepiece_codec._checked(path))(iter([batch]))).to_pylist()
+    assert [(r["text"], r["n_tokens"] > 0, r["lossless"]) for r in rows] == [("words of a task", True, True), (None, False, True), ("", False, True)]
+    assert not codec.known
+
+
+def test_language_scores_are_learned_in_pieces():
+    import tracemalloc
+
+    model = language_id.Model.fit([("en", "the words of a text"), ("de", "die Worte eines Textes")])
+    tokens = {f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}word{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(120_000)} | {"1", "a-b"}
+    labeller = language_id.Labeller(model)
+    tracemalloc.start()
+    labeller._learn(tokens)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    some = sorted(tokens)[::997] + ["1", "a-b"]
+    alone = language_id.Labeller(model)
+    for t in some:
+        alone._learn({t})
+    assert all((labeller.scores[labeller.known[t]] == alone.scores[alone.known[t]]).all() and labeller.letters[labeller.known[t]] == alone.letters[alone.known[t]] for t in some)
