@@ -516,3 +516,38 @@ def test_language_scores_are_learned_in_pieces():
     for t in some:
         alone._learn({t})
     assert all((labeller.scores[labeller.known[t]] == alone.scores[alone.known[t]]).all() and labeller.letters[labeller.known[t]] == alone.letters[alone.known[t]] for t in some)
+
+
+def test_units_are_a_row_a_document_and_windows_are_cut_to_those_marked():
+    rng = np.random.default_rng(5)
+    windows = []
+    for k in range(60):
+        hot = np.zeros(300, substring_dedup._HOT)
+        hot["token"], hot["l"] = rng.integers(0, 400, 300), np.arange(300)
+        hot["m"], hot["r"] = hot["l"] + 5, hot["l"] + 60
+        windows.append([hot[:100].tobytes(), hot[100:].tobytes()])
+    first, count, component = [[100] if k % 3 else None for k in range(60)], [[54] if k % 3 else None for k in range(60)], [7 if k % 3 else None for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(windows, pa.list_(pa.binary())), pa.array(first, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32())), pa.array(component, pa.int64())], list("abcde"))
+    units = list(substring_dedup._units(iter([batch])))
+    assert sum(x.num_rows for x in units) == 60  # a row a document, however many windows it has
+    want = []
+    for k in range(60):
+        for token, left, m, r in np.frombuffer(b"".join(windows[k]), substring_dedup._HOT).tolist():
+            want.append((k, token, left, m, r, 7 if k % 3 and 100 <= m < 150 else -1 - k))
+    small = pytest.MonkeyPatch()
+    small.setattr(substring_dedup, "UNITS", 1000)  # some documents at a time
+    try:
+        sides: dict[int, tuple[int, int, int]] = {}
+        for part in substring_dedup._sides(iter(units)):
+            for token, low, high, n in zip(*(c.to_pylist() for c in part.columns)):
+                was = sides.get(token, (low, high, 0))
+                sides[token] = (min(low, was[0]), max(high, was[1]), n + was[2])
+        mine = lambda t: [w for w in want if w[1] == t]
+        assert sides == {t: (min(w[5] for w in mine(t)), max(w[5] for w in mine(t)), len(mine(t))) for t in {w[1] for w in want}}
+        marks = np.zeros(substring_dedup.MARKS >> 6, np.int64)
+        for t in (3, 63, 64, 300):
+            marks[t >> 6] |= np.array([1 << (t & 63)], np.uint64).view(np.int64)[0]
+        got = [row for part in substring_dedup._marked(marks)(iter(units)) for row in zip(*(c.to_pylist() for c in part.columns))]
+    finally:
+        small.undo()
+    assert sorted(got) == sorted(w for w in want if w[1] in (3, 63, 64, 300))
