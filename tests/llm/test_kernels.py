@@ -551,3 +551,25 @@ def test_units_are_a_row_a_document_and_windows_are_cut_to_those_marked():
     finally:
         small.undo()
     assert sorted(got) == sorted(w for w in want if w[1] in (3, 63, 64, 300))
+
+
+def test_contexts_of_all_passes_are_those_of_one_however_documents_are_dealt():
+    """Each window comes in one pass alone, with the shingles around its minimum by force, and equal ones stand under the smallest node."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(300)]
+    texts = [" ".join([f"o{d}x{k}" for k in range(rng.randrange(40))] + common) for d in range(12)]
+    item = [wordhash.shingles(wordhash.words(pa.array([t]))[0], 5) for t in texts]
+    windows, want = [], set()
+    for d in range(12):
+        begin = len(item[d]) - 296
+        rows = [{"token": 8 * t + 1, "l": begin + 10 * t, "m": begin + 10 * t + 20, "r": begin + 10 * t + 100, "unit": 3 if t % 2 else -1 - d} for t in range(15)]
+        rows.append({"token": 999, "l": 0, "m": begin + 150, "r": len(item[d]) - 1, "unit": -1 - d})
+        windows.append(rows)
+        for w in rows:
+            want.add((w["token"], 0 if w["unit"] == 3 else d, w["unit"], item[d][max(w["l"], w["m"] - 150) : min(w["r"], w["m"] + 150) + 1].tobytes()))
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("l", pa.int32()), ("m", pa.int32()), ("r", pa.int32()), ("unit", pa.int64())]))
+    for order in (list(range(12)), list(range(12))[::-1]):
+        batch = pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array([texts[d] for d in order]), pa.array([windows[d] for d in order], kind)], ["node", "text", "windows"])
+        got = [[row for part in substring_dedup._contexts(50, k, 3)(iter([batch])) for row in zip(*(c.to_pylist() for c in part.columns))] for k in range(3)]
+        assert sorted(x for part in got for x in part) == sorted(want)
+        assert all(part for part in got) and not {x[0] for x in got[0]} & {x[0] for x in got[1]}
