@@ -511,3 +511,16 @@ def test_pipeline_stages_by_force(spark, texts, tmp_path):
             assert len(before) - len(after) <= sum(any(t in x for t in items) for x in before.values()) + 2
         else:
             assert set(after) == set(before) and all(r["lossless"] and r["n_tokens"] == len(r["ids"]) for r in after.values())
+
+
+def test_substring_pairs_are_made_without_texts_in_their_shuffle(spark, monkeypatch):
+    """Texts meet their windows before: no pass over pairs, runs apart, joins them again."""
+    rng = random.Random(12)
+    part = [" ".join(f"s{k}x{rng.randrange(10**6)}" for _ in range(60)) for k in range(2)]
+    rows = [(k, " ".join([*(f"o{rng.randrange(10**6)}" for _ in range(25)), part[k % 2]])) for k in range(80)]
+    plans: list[str] = []
+    keep = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name, **o: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if name == "pairs" else None, keep(df, name, **o))[1])
+    got = substring_dedup.repeating_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 80 and {r["class_id"] for r in got} == {0, 1}
+    assert len(plans) >= 3 and not any("Join" in x for x in plans)
